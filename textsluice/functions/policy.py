@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .matching import case_folded, hits
 from .rules import POLICIES, Policy
@@ -41,7 +41,9 @@ def policy_masks(text: Column, policies: Sequence[Policy] = POLICIES, names: Col
                 for i in range(len(part))])
         for k, part in enumerate(_slices(policies))
     ]
-    return F.array(*masks) if masks else F.array().cast("array<bigint>")
+    # not one array(): the optimizer copies array constructors into every use,
+    # and each copy would run the patterns again
+    return F.concat(F.array().cast("array<bigint>"), *[F.array(m) for m in masks])
 
 
 def policy_records(masks: Column, policies: Sequence[Policy] = POLICIES) -> Column:
@@ -97,7 +99,9 @@ def policy_result(masks: Column, policies: Sequence[Policy] = POLICIES) -> Colum
     )
 
 
-def check_policy(text: Column, policies: Sequence[Policy] = POLICIES,
-                 names: Column | None = None) -> Column:
-    """Stand-alone policy check of a text column."""
-    return policy_result(policy_masks(text, policies, names), policies)
+def check_policy(df: DataFrame, text: str = "text", policies: Sequence[Policy] = POLICIES,
+                 names: Column | None = None) -> DataFrame:
+    """Stand-alone policy check: adds ``policy`` (allowed, violations,
+    warnings) to any table, whatever the gate's settings are."""
+    return (df.withColumn("_masks", policy_masks(F.col(text), policies, names))
+            .withColumn("policy", policy_result(F.col("_masks"), policies)).drop("_masks"))

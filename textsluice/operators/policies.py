@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions.dialect import to_java
 from ..functions.policy import policy_masks, policy_records
 from ..functions.rules import ACTIONS, POLICIES, POLICY_NEEDS, Policy
+from .config import next_start
 from .intervals import interval_join
 
 SCHEMA = "ord long, name string, pattern string, action string, description string"
@@ -89,6 +90,18 @@ def policy_versions(table: DataFrame, changes: DataFrame) -> DataFrame:
             .select("from_seq", "to_seq", "name", "pattern", "java", "action", "description"))
 
 
+def policy_sets(versions: DataFrame) -> DataFrame:
+    """Versions to (from_seq, to_seq, policies): the whole set in force, in
+    policy order, for every stretch of seq without an effective change."""
+    points = versions.select("from_seq").union(
+        versions.where(F.col("to_seq").isNotNull()).select("to_seq")).distinct().withColumnRenamed("from_seq", "at")
+    fields = [c for c in versions.columns if c not in ("from_seq", "to_seq")]
+    held = interval_join(points, "at", versions.withColumn("version", F.col("from_seq")))
+    grouped = held.groupBy(F.col("at").alias("from_seq")).agg(F.sort_array(F.collect_list(
+        F.when(F.col("version").isNotNull(), F.struct("version", *fields)))).alias("policies"))
+    return next_start(grouped)
+
+
 def load_policies(table: DataFrame) -> list[Policy]:
     """The table's policies in order, to be written into the plan.  Larger
     tables than a plan should hold go through :func:`policy_hits_from_table`."""

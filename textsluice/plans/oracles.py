@@ -465,4 +465,15 @@ D = {
         (n_chars > 3000)::BIGINT + (doc_id % 2 = 1)::BIGINT AS n_violations, (lang <> 'en')::BIGINT AS n_warnings FROM documents""",
 }
 
+_PATTERNS = [*c.CHANGE_PATTERNS, *(p.pattern for p in POLICIES)]
+_FOUND = " UNION ALL ".join(f"SELECT seq, {literal(p)} AS pattern FROM req WHERE regexp_matches(text, {literal(p)})"
+                            for p in _PATTERNS if p not in _BAD)
+P["p_version_hits"] = f"""
+    WITH {REQUESTS}, {CHANGES}, steps AS (
+        SELECT seq AS since, lead(seq) OVER (PARTITION BY name ORDER BY seq) AS until, name, op, pattern, action
+        FROM (SELECT * FROM defaults UNION ALL SELECT * FROM effect)),
+    found AS ({_FOUND})
+    SELECT f.seq, s.name AS policy, s.action FROM found f JOIN steps s
+    ON s.op = 'add' AND f.pattern = s.pattern AND f.seq > s.since AND (s.until IS NULL OR f.seq <= s.until)"""
+
 ORACLES: dict[str, str] = {**V, **F, **P, **R, **G, **A, **C, **S, **D}

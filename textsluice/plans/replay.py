@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import detect, policy as pol
 from ..functions.redact import redact
-from ..functions.rules import POLICIES, WINDOW_US, Policy
+from ..functions.rules import POLICIES, POLICY_NEEDS, WINDOW_US, Policy
 from ..operators import audit
 from ..operators.config import FIELDS, LIMITS, SWITCHES, Config, config_history, config_intervals
 from ..operators.gate import VERDICT, verdict_columns, settings_of
 from ..operators.intervals import interval_join
 from ..operators.limiter import HOT_ROWS, rate_limit
-from ..operators.policies import (PLAN_POLICIES, SCHEMA, policy_table, policy_versions, version_hits)
-from ..functions.rules import POLICY_NEEDS
+from ..operators.policies import PLAN_POLICIES, policy_sets, policy_table, policy_versions
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -28,42 +28,49 @@ class Replay:
     versions: DataFrame     # policy versions with the calls they hold for
 
 
-def _policy_hits(calls: DataFrame, versions: DataFrame, *keep: str) -> DataFrame:
+def _sets_in_force(versions: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """The policy sets by stretch of seq, and the distinct patterns if the plan
+    can hold them (then each policy carries its pattern's mask position)."""
+    patterns = versions.select("pattern").distinct().limit(PLAN_POLICIES + 1).collect()
+    if len(patterns) > PLAN_POLICIES:
+        return policy_sets(versions.drop("pattern")).checkpoint(), None
+    known = sorted(r["pattern"] for r in patterns)
+    numbers = F.create_map(*[x for i, p in enumerate(known) for x in (F.lit(p), F.lit(i))])
+    placed = (versions.withColumn("_n", numbers[F.col("pattern")])
+              .withColumn("_slice", F.expr(f"_n div {pol.SLICE} + 1").cast("int"))
+              .withColumn("_bit", F.expr(f"shiftleft(1L, _n % {pol.SLICE})")).drop("_n", "pattern", "java"))
+    return policy_sets(placed).checkpoint(), known
+
+
+def _policy_hits(calls: DataFrame, sets: DataFrame, known: list[str] | None, *keep: str) -> DataFrame:
     """Adds ``block``, ``redact``, ``warn`` (hit counts) and ``hits`` (records
-    in policy order) by the policy versions in force at each call.
+    in policy order) by the policies in force at each call.
 
-    Up to PLAN_POLICIES versions become literals of the plan, each guarded by
-    its seq range: one projection.  More stay data and are joined by seq.
+    Known patterns are literals of the plan and run once per text where it is
+    read; what joins the policy sets is a bit mask.  Without them the sets are
+    joined first and bring their own patterns.
     """
-    rows = versions.limit(PLAN_POLICIES + 1).collect()
-    if len(rows) <= PLAN_POLICIES:
-        rows = sorted(rows, key=lambda r: r["from_seq"])
-        known = [Policy(r["name"], r["pattern"], r["action"], r["description"],
-                        POLICY_NEEDS.get(r["pattern"], ())) for r in rows]
-
-        def held(r) -> Column:
-            after = F.col("seq") >= F.lit(r["from_seq"])
-            return after if r["to_seq"] is None else after & (F.col("seq") < F.lit(r["to_seq"]))
-
-        masks = F.col("_masks")
-        return (
-            calls.withColumn("_masks", pol.policy_masks(
-                F.col("text"), known, F.col("policy_names"), [held(r) for r in rows]))
-            .select(*keep, *[pol.count_by_action(masks, known, (a,)).alias(a) for a in ("block", "redact", "warn")],
-                    pol.policy_records(masks, known).alias("hits"))
-        )
-    found = version_hits(calls, versions, "seq", names="policy_names")
-    record = F.struct("from_seq", "policy", "action", "description")
-    per_call = found.groupBy("seq").agg(
-        *[F.count_if(F.col("action") == a).alias(a) for a in ("block", "redact", "warn")],
-        F.sort_array(F.collect_list(record)).alias("_found"))     # at most one record per policy
-    plain = F.transform("_found", lambda r: F.struct(
-        r["policy"].alias("policy"), r["action"].alias("action"), r["description"].alias("description")))
-    return (
-        calls.select(*keep).join(per_call, "seq", "left")
-        .select(*keep, *[F.coalesce(a, F.lit(0).cast("long")).alias(a) for a in ("block", "redact", "warn")],
-                F.coalesce(plain, F.array().cast(f"array<{pol.RECORD}>")).alias("hits"))
-    )
+    text, masks, names = F.col("text"), F.col("_masks"), F.col("_names")
+    calls = calls.withColumn("_names", F.col("policy_names"))
+    if known is not None:
+        literals = [Policy(p, p, "block", "", POLICY_NEEDS.get(p, ())) for p in known]
+        calls = calls.withColumn("_masks", pol.policy_masks(text, literals)).select(*keep, "_names", "_masks")
+
+    def fires(p: Column) -> Column:
+        if known is None:
+            return F.rlike(text, p["java"])
+        return F.element_at(masks, p["_slice"]).bitwiseAND(p["_bit"]) != 0
+
+    hit = F.filter("policies", lambda p: (names.isNull() | F.array_contains(names, p["name"])) & fires(p))
+    records = F.transform("_hit", lambda p: F.struct(
+        p["name"].alias("policy"), p["action"].alias("action"), p["description"].alias("description")))
+    return interval_join(calls, "seq", sets).withColumn("_hit", F.coalesce(hit, F.array())).select(
+        *keep, *[F.size(F.filter("_hit", _has(a))).cast("long").alias(a) for a in ("block", "redact", "warn")],
+        records.alias("hits"))
+
+
+def _has(action: str):
+    return lambda p: p["action"] == action
 
 
 def replay(calls: DataFrame, *, window_us: int = WINDOW_US, defaults: Config = Config(),
@@ -71,25 +78,28 @@ def replay(calls: DataFrame, *, window_us: int = WINDOW_US, defaults: Config = C
     """*calls*: tool calls (see ``sources.calls.tool_calls``) with a unique
     order ``seq`` and a time ``ts``.
 
-    Setting and policy changes, few against the calls, become intervals of seq.
-    Texts are scanned once per kind of call, where they are read, and only
-    counts and hit records travel on.
+    Setting and policy changes, few against the calls, are taken out once and
+    become intervals of seq.  Texts are scanned once per kind of call, where
+    they are read, and only masks, counts and hit records travel on.
     """
     spark = calls.sparkSession
-    settings = config_history(
-        calls.where("tool = 'update_config'").select("seq", *FIELDS), defaults=defaults)
-    spans = config_intervals(settings, defaults=defaults)
-    changes = calls.where("tool in ('add_policy', 'remove_policy')").select(
+    ensure_checkpoint_dir(spark)
+    control = calls.where("tool in ('update_config', 'add_policy', 'remove_policy')").select(
+        "seq", "tool", "name", "pattern", "action", "description", *FIELDS).checkpoint()
+    settings = config_history(control.where("tool = 'update_config'").select("seq", *FIELDS), defaults=defaults)
+    spans = config_intervals(settings, defaults=defaults).checkpoint()
+    changes = control.where("tool in ('add_policy', 'remove_policy')").select(
         "seq", F.when(F.col("tool") == "add_policy", "add").otherwise("remove").alias("op"),
         "name", "pattern", "action", "description")
-    versions = policy_versions(policy_table(spark, policies), changes)
+    versions = policy_versions(policy_table(spark, policies), changes).checkpoint()
+    sets, known = _sets_in_force(versions)
     bare = calls.drop(*SWITCHES, *LIMITS)
 
     requests = bare.where("tool = 'validate_input'").withColumn("policy_names", F.lit(None).cast("array<string>"))
     screened = _policy_hits(
         requests.withColumn("n_bytes", detect.byte_length(F.col("text")))
         .withColumn("input_mask", detect.input_mask(F.col("text"))),
-        versions, "seq", "ts", "user_id", "n_bytes", "input_mask")
+        sets, known, "seq", "ts", "user_id", "n_bytes", "input_mask")
     governed = interval_join(screened, "seq", spans)
     # with the limiter off a call is neither checked nor recorded: give it a
     # quota of its own
@@ -102,7 +112,7 @@ def replay(calls: DataFrame, *, window_us: int = WINDOW_US, defaults: Config = C
     verdicts = verdict_columns(limited, settings_of(None), counts).select(
         *VERDICT, F.when(judged, F.col("hits")).alias("policy_hits"))
 
-    checks = _policy_hits(bare.where("tool = 'check_policy'"), versions, "seq", "ts").select(
+    checks = _policy_hits(bare.where("tool = 'check_policy'"), sets, known, "seq", "ts").select(
         "seq", "ts", (F.col("block") == 0).alias("allowed"),
         (F.col("block") + F.col("redact")).alias("n_policy_violations"), F.col("warn").alias("n_warnings"),
         F.col("hits").alias("policy_hits"))

@@ -15,7 +15,7 @@ _LIVE = T.StructType([T.StructField("live", T.ArrayType(T.LongType()))])
 
 def stream_rate_limit(stream: DataFrame, *, max_requests: int = MAX_REQUESTS, window_us: int = WINDOW_US,
                       user: str = "user_id", ts: str = "ts", seq: str = "seq",
-                      idle_ms: int = 600_000) -> DataFrame:
+                      idle_ms: int | None = None) -> DataFrame:
     """Adds ``limited`` and ``retry_after`` to a stream of narrow rows.
 
     Arrival order is the order: micro-batches follow one another, and rows of a
@@ -24,8 +24,10 @@ def stream_rate_limit(stream: DataFrame, *, max_requests: int = MAX_REQUESTS, wi
     at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``): a user's
     rows of one micro-batch meet in one task.
 
-    With a watermark on *ts*, a user idle for *idle_ms* is forgotten once the
-    watermark shows every stamp to be expired; without one, state is kept.
+    With *idle_ms* and a watermark on *ts*, a user idle that long is forgotten
+    once the watermark shows every stamp to be expired, which changes no
+    verdict.  That is for streams that run on: Spark keeps such a query busy
+    with timeouts, so an ``availableNow`` run would not end.
     """
     if max_requests < 1:
         raise ValueError("max_requests must be at least 1")
@@ -33,6 +35,9 @@ def stream_rate_limit(stream: DataFrame, *, max_requests: int = MAX_REQUESTS, wi
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in stream.schema.fields],
                            T.StructField("limited", T.BooleanType()), T.StructField("retry_after", T.LongType())])
 
+    # whole numbers may be null, which plain pandas would turn into floats
+    whole = [f.name for f in stream.schema.fields if isinstance(f.dataType, (T.LongType, T.IntegerType))]
+
     def step(key, frames, state: GroupState):
         live = list(state.get[0]) if state.exists else []
         if state.hasTimedOut:
@@ -46,8 +51,9 @@ def stream_rate_limit(stream: DataFrame, *, max_requests: int = MAX_REQUESTS, wi
         us = rows["_us"].to_numpy(np.int64)
         limited, retry, live = admit(us, np.full(len(us), max_requests, dtype=np.int64), live, window_us)
         state.update((live,))
-        state.setTimeoutDuration(idle_ms)
-        out = rows[names].copy()
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        out = rows[names].astype({c: "Int64" for c in whole})
         out["limited"] = limited
         out["retry_after"] = pd.array(np.where(limited, retry, 0), dtype="Int64")
         out.loc[~limited, "retry_after"] = pd.NA
@@ -57,4 +63,5 @@ def stream_rate_limit(stream: DataFrame, *, max_requests: int = MAX_REQUESTS, wi
     keyed = (stream.withColumn("_user", F.coalesce(F.col(user).cast("string"), F.lit(ANONYMOUS)))
              .withColumn("_us", us).withColumn("_seq", F.col(seq).cast("long")))
     return keyed.groupBy("_user").applyInPandasWithState(
-        step, schema, _LIVE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        step, schema, _LIVE, "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
