@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .matching import case_folded, hit_mask, replace_in_turn
+from .matching import case_folded, computed_once, hit_mask, replace_in_turn
 from .rules import BYTES_PER_TOKEN, INPUT_RULES, MAX_TOKENS, SANITIZE_RULES, Rule
 
 PII_BITS = sum(1 << i for i, r in enumerate(INPUT_RULES) if r.category == "PII")
@@ -78,8 +78,8 @@ def sanitize(text: Column, mask: Column | None = None) -> Column:
 def screen(df: DataFrame, text: str = "text", max_tokens=MAX_TOKENS) -> DataFrame:
     """Adds ``n_bytes``, ``input_mask``, ``n_violations`` and ``valid``."""
     return (
-        df.withColumn("n_bytes", byte_length(F.col(text)))
-        .withColumn("input_mask", input_mask(F.col(text)))
+        computed_once(df, "input_mask", input_mask(F.col(text)))
+        .withColumn("n_bytes", byte_length(F.col(text)))
         .withColumn("n_violations", violation_count(F.col("input_mask"), F.col("n_bytes"), max_tokens))
         .withColumn("valid", is_valid(F.col("input_mask"), F.col("n_bytes"), max_tokens))
     )

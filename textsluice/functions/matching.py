@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .dialect import to_java
 
@@ -50,3 +50,24 @@ def replace_in_turn(rules, text: Column) -> Column:
         text = F.regexp_replace(text, F.lit(to_java(rule.pattern, rule.starts)),
                                 F.lit(f"[REDACTED_{rule.category}]"))
     return text
+
+
+def exploded(df: DataFrame, keep: list, items: Column, item: str, position: str | None = None) -> DataFrame:
+    """One row per array item.  As an outer explode with the empty rows taken
+    out after it: for an inner one the optimizer adds a "has items" filter and
+    copies it, patterns and all, below the projection that computes the items."""
+    rows = df.select(*keep, F.posexplode_outer(items).alias("_at", item)).where(F.col("_at").isNotNull())
+    if position is None:
+        return rows.drop("_at")
+    return rows.withColumn(position, F.col("_at").cast("long")).drop("_at")
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds *value* as a column that is computed exactly once per row.
+
+    A plain projection is copied into every filter above it when the optimizer
+    pushes the filter down, which for pattern matching multiplies the work.  A
+    filter cannot move below a generator it reads from, and other filters still
+    can.  The column is computed even if nothing reads it.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))

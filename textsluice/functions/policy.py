@@ -8,7 +8,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .matching import case_folded, hits
+from .matching import case_folded, computed_once, hits
 from .rules import POLICIES, Policy
 
 RECORD = "struct<policy:string,action:string,description:string>"
@@ -103,5 +103,5 @@ def check_policy(df: DataFrame, text: str = "text", policies: Sequence[Policy] =
                  names: Column | None = None) -> DataFrame:
     """Stand-alone policy check: adds ``policy`` (allowed, violations,
     warnings) to any table, whatever the gate's settings are."""
-    return (df.withColumn("_masks", policy_masks(F.col(text), policies, names))
+    return (computed_once(df, "_masks", policy_masks(F.col(text), policies, names))
             .withColumn("policy", policy_result(F.col("_masks"), policies)).drop("_masks"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .dialect import to_java
-from .matching import case_folded, may_hit, replace_in_turn
+from .matching import case_folded, computed_once, may_hit, replace_in_turn
 from .rules import OUTPUT_PII_RULES, SECRET_RULES, Rule
 
 REDACTION = "struct<category:string,original_length:int>"
@@ -47,15 +47,13 @@ def redact(df: DataFrame, text: str = "text", *, enabled: bool = True,
         return (df.withColumn("redacted", F.col(text))
                 .withColumn("redactions", F.lit(None).cast(f"array<{REDACTION}>"))
                 .withColumn("modified", F.lit(False)))
-    original = F.col(text)
+    original, left = F.col(text), F.col("_left")
+    df = df.withColumn("_folded", case_folded(original))
+    df = computed_once(df, "_secrets", found_in(secrets, original, F.col("_folded")))
+    df = computed_once(df, "_left", F.when(F.size("_secrets") > 0, replace_in_turn(secrets, original)).otherwise(original))
+    df = computed_once(df, "_personal", found_in(personal, left, case_folded(left)))
     return (
-        df.withColumn("_folded", case_folded(original))
-        .withColumn("_secrets", found_in(secrets, original, F.col("_folded")))
-        .withColumn("_left", F.when(F.size("_secrets") > 0, replace_in_turn(secrets, original))
-                    .otherwise(original))
-        .withColumn("_personal", found_in(personal, F.col("_left"), case_folded(F.col("_left"))))
-        .withColumn("redacted", F.when(F.size("_personal") > 0, replace_in_turn(personal, F.col("_left")))
-                    .otherwise(F.col("_left")))
+        df.withColumn("redacted", F.when(F.size("_personal") > 0, replace_in_turn(personal, left)).otherwise(left))
         .withColumn("redactions", F.concat("_secrets", "_personal"))
         .withColumn("modified", F.size("redactions") > 0)
         .drop("_folded", "_secrets", "_left", "_personal")

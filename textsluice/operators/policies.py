@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.dialect import to_java
+from ..functions.matching import exploded
 from ..functions.policy import policy_masks, policy_records
 from ..functions.rules import ACTIONS, POLICIES, POLICY_NEEDS, Policy
 from .config import next_start
@@ -116,10 +117,8 @@ def policy_hits(df: DataFrame, *ids: str, text: str = "text", policies: Sequence
     """One row (ids, position, policy, action, description) per policy that
     fires.  Patterns are literals of the plan: one scan, no join, no shuffle."""
     masks = df.withColumn("_masks", policy_masks(F.col(text), policies, names))
-    return (
-        masks.select(*ids, F.posexplode(policy_records(F.col("_masks"), policies)).alias("position", "p"))
-        .select(*ids, "position", "p.policy", "p.action", "p.description")
-    )
+    rows = exploded(masks, [*ids], policy_records(F.col("_masks"), policies), "p", "position")
+    return rows.select(*ids, "position", "p.policy", "p.action", "p.description")
 
 
 def policy_hits_from_table(df: DataFrame, table: DataFrame, *ids: str, text: str = "text",
@@ -153,8 +152,8 @@ def policy_hits_from_table(df: DataFrame, table: DataFrame, *ids: str, text: str
         met = texts.withColumn("_salt", F.pmod(F.xxhash64("_text", *ids), F.lit(salts)).cast("int")).join(
             spread, ["_part", "_salt"])
     fired = F.filter("_rules", lambda r: F.rlike(F.col("_text"), r["java"]))
-    return (met.select(*ids, F.explode(fired).alias("r"))
-            .select(*ids, F.col("r.name").alias("policy"), "r.action", "r.description"))
+    return exploded(met, [*ids], fired, "r").select(
+        *ids, F.col("r.name").alias("policy"), "r.action", "r.description")
 
 
 def version_hits(df: DataFrame, versions: DataFrame, *ids: str, seq: str = "seq", text: str = "text",

@@ -8,20 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import detect, policy as pol
-from ..functions.matching import replace_in_turn
-from ..functions.redact import found_in, redact
-from ..functions.matching import case_folded
-from ..functions.rules import OUTPUT_PII_RULES, POLICIES, SECRET_RULES, Policy
+from ..functions.matching import exploded
+from ..functions.redact import redact
+from ..functions.rules import POLICIES, Policy
 from ..operators import access, audit
 from ..operators.config import Config, config_history
 from ..operators.gate import detailed_gate, gate
 from ..operators.limiter import active_users, micros, rate_limit
-from ..operators.policies import (apply_changes, load_policies, policy_hits, policy_hits_from_table,
-                                  policy_table, policy_versions, version_hits)
+from ..operators.policies import (apply_changes, policy_hits, policy_hits_from_table, policy_table,
+                                  policy_versions, version_hits)
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from ..sources.calls import parse_calls, tool_calls
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..streaming.gate import stream_gate, stream_rollup
 from ..streaming.limiter import stream_rate_limit
 from .payloads import OUTPUT_PAYLOADS, REQUEST_PAYLOADS, RULE_PAYLOADS, with_payload
@@ -52,7 +51,11 @@ def _tables(spark: SparkSession) -> None:
 
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
+
+
+def pages(spark, sf) -> DataFrame:
+    return spread(table(spark, sf, "pages"))
 
 
 def planted(spark, sf) -> DataFrame:
@@ -83,6 +86,7 @@ def _with_turn(ev: DataFrame, spark, sf) -> DataFrame:
 
 
 def as_requests(ev: DataFrame, spark, sf) -> DataFrame:
+    ev = ev if ev.isStreaming else spread(ev)
     return _with_turn(ev, spark, sf).select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), _user().alias("user_id"),
         with_payload(F.col("turn_text"), F.col("event_id"), REQUEST_PAYLOADS).alias("text"))
@@ -94,7 +98,7 @@ def requests(spark, sf) -> DataFrame:
 
 def outputs(spark, sf) -> DataFrame:
     """Assistant turns as outputs, numbered below the requests' range."""
-    return table(spark, sf, "conversations").where("role = 'assistant'").select(
+    return spread(table(spark, sf, "conversations").where("role = 'assistant'")).select(
         (-(F.col("conv_id") * 100 + F.col("turn")) - 1).alias("seq"),
         F.timestamp_seconds(F.col("conv_id") + 1_704_067_200).alias("ts"),
         with_payload(F.col("text"), F.col("conv_id") + F.col("turn"), OUTPUT_PAYLOADS).alias("text"))
@@ -122,14 +126,14 @@ def _scratch(spark) -> str:
 # -- detection -----------------------------------------------------------------
 def v_length(spark, sf):
     size = detect.byte_length(F.col("text"))
-    return documents(spark, sf).select("doc_id", size.alias("n_bytes"),
+    return table(spark, sf, "documents").select("doc_id", size.alias("n_bytes"),
                                        detect.too_long(size, SHORT_TOKENS).alias("too_long"))
 
 
 def _hit_rows(category: str) -> Query:
     def query(spark, sf):
         hit = planted(spark, sf).select("doc_id", detect.input_mask(F.col("t")).alias("m"))
-        rows = hit.select("doc_id", F.posexplode(detect.violations(F.col("m"), F.lit(0).cast("long"))).alias("position", "v"))
+        rows = exploded(hit, ["doc_id"], detect.violations(F.col("m"), F.lit(0).cast("long")), "v")
         return rows.where(F.col("v.category") == category).select("doc_id", "v.description", "v.severity")
     return query
 
@@ -145,8 +149,8 @@ def v_validate_summary(spark, sf):
 def v_violation_list(spark, sf):
     screened = detect.screen(planted(spark, sf).select("doc_id", "t"), "t", SHORT_TOKENS)
     found = detect.violations(F.col("input_mask"), F.col("n_bytes"), SHORT_TOKENS)
-    return screened.select("doc_id", F.posexplode(found).alias("position", "v")).select(
-        "doc_id", F.col("position").cast("long").alias("position"), "v.category", "v.description", "v.severity")
+    return exploded(screened, ["doc_id"], found, "v", "position").select(
+        "doc_id", "position", "v.category", "v.description", "v.severity")
 
 
 def v_validate(spark, sf):
@@ -161,7 +165,7 @@ def v_sanitize(spark, sf):
 
 
 def v_pages_report(spark, sf):
-    return rule_report(table(spark, sf, "pages"), text="html")
+    return rule_report(pages(spark, sf), text="html")
 
 
 # -- redaction -----------------------------------------------------------------
@@ -180,8 +184,8 @@ def f_redact_text(spark, sf):
 
 def f_redaction_list(spark, sf):
     found = redact(planted(spark, sf).select("doc_id", "t"), "t")
-    return found.select("doc_id", F.posexplode("redactions").alias("position", "r")).select(
-        "doc_id", F.col("position").cast("long").alias("position"), "r.category",
+    return exploded(found, ["doc_id"], F.col("redactions"), "r", "position").select(
+        "doc_id", "position", "r.category",
         F.col("r.original_length").cast("long").alias("original_length"))
 
 
@@ -227,7 +231,7 @@ def p_routing(spark, sf):
     rows = F.concat(
         F.transform("policy.violations", lambda r: F.struct(F.lit("violation").alias("kind"), r.alias("r"))),
         F.transform("policy.warnings", lambda r: F.struct(F.lit("warning").alias("kind"), r.alias("r"))))
-    return checked.select("doc_id", "policy.allowed", F.explode(rows).alias("x")).select(
+    return exploded(checked, ["doc_id", "policy.allowed"], rows, "x").select(
         "doc_id", "allowed", "x.kind", "x.r.policy", "x.r.action", "x.r.description")
 
 
@@ -247,7 +251,7 @@ def p_subset(spark, sf):
 
 def p_hits(spark, sf):
     return policy_hits(planted(spark, sf), "doc_id", text="t", policies=ALL_POLICIES).select(
-        "doc_id", F.col("position").cast("long").alias("position"), "policy", "action", "description")
+        "doc_id", "position", "policy", "action", "description")
 
 
 def p_rule_join(spark, sf):
@@ -255,7 +259,7 @@ def p_rule_join(spark, sf):
 
 
 def p_pages(spark, sf):
-    return policy_hits(table(spark, sf, "pages"), "page_id", text="html").select("page_id", "policy", "action")
+    return policy_hits(pages(spark, sf), "page_id", text="html").select("page_id", "policy", "action")
 
 
 def changes(spark, sf) -> DataFrame:
@@ -450,7 +454,7 @@ def call_lines(spark, sf) -> DataFrame:
     input checks, with output filters, policy checks, setting and policy
     changes, blank and broken lines, and wrongly typed arguments between."""
     n = F.col("event_id")
-    ev = _with_turn(events(spark, sf), spark, sf).withColumn(
+    ev = _with_turn(spread(events(spark, sf)), spark, sf).withColumn(
         "text", with_payload(F.col("turn_text"), n, REQUEST_PAYLOADS))
     pattern = F.element_at(F.array(*[F.lit(p) for p in REPLAY_PATTERNS]), (n % len(REPLAY_PATTERNS) + 1).cast("int"))
     action = F.element_at(F.array(*[F.lit(a) for a in CHANGE_ACTIONS]), (n % len(CHANGE_ACTIONS) + 1).cast("int"))
@@ -576,7 +580,7 @@ def d_forbidden_calls(spark, sf):
 
 
 def d_custom_policy(spark, sf):
-    docs = documents(spark, sf)
+    docs = table(spark, sf, "documents")
     checked = access.custom_policies(docs.select("doc_id", "lang", "source", "n_chars"), [
         ("too_big", "block", "Long text", F.col("n_chars") > 3_000),
         ("not_english", "warn", "Other language", F.col("lang") != "en"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,16 +18,6 @@ from ..operators.policies import PLAN_POLICIES, policy_sets, policy_table, polic
 from ..session import ensure_checkpoint_dir
 
 
-@dataclass
-class Replay:
-    verdicts: DataFrame     # one row per validate_input call
-    checks: DataFrame       # one row per check_policy call
-    outputs: DataFrame      # one row per filter_output call
-    audit: DataFrame        # one row per logged event
-    settings: DataFrame     # settings after each update_config call
-    versions: DataFrame     # policy versions with the calls they hold for
-
-
 def _sets_in_force(versions: DataFrame) -> tuple[DataFrame, list[str] | None]:
     """The policy sets by stretch of seq, and the distinct patterns if the plan
     can hold them (then each policy carries its pattern's mask position)."""
@@ -73,57 +63,82 @@ def _has(action: str):
     return lambda p: p["action"] == action
 
 
-def replay(calls: DataFrame, *, window_us: int = WINDOW_US, defaults: Config = Config(),
-           policies=POLICIES, hot_rows: int = HOT_ROWS) -> Replay:
-    """*calls*: tool calls (see ``sources.calls.tool_calls``) with a unique
-    order ``seq`` and a time ``ts``.
+class Replay:
+    """Results of a replayed call log, each planned when first asked for.
 
     Setting and policy changes, few against the calls, are taken out once and
     become intervals of seq.  Texts are scanned once per kind of call, where
     they are read, and only masks, counts and hit records travel on.
     """
-    spark = calls.sparkSession
-    ensure_checkpoint_dir(spark)
-    control = calls.where("tool in ('update_config', 'add_policy', 'remove_policy')").select(
-        "seq", "tool", "name", "pattern", "action", "description", *FIELDS).checkpoint()
-    settings = config_history(control.where("tool = 'update_config'").select("seq", *FIELDS), defaults=defaults)
-    spans = config_intervals(settings, defaults=defaults).checkpoint()
-    changes = control.where("tool in ('add_policy', 'remove_policy')").select(
-        "seq", F.when(F.col("tool") == "add_policy", "add").otherwise("remove").alias("op"),
-        "name", "pattern", "action", "description")
-    versions = policy_versions(policy_table(spark, policies), changes).checkpoint()
-    sets, known = _sets_in_force(versions)
-    bare = calls.drop(*SWITCHES, *LIMITS)
-
-    requests = bare.where("tool = 'validate_input'").withColumn("policy_names", F.lit(None).cast("array<string>"))
-    screened = _policy_hits(
-        requests.withColumn("n_bytes", detect.byte_length(F.col("text")))
-        .withColumn("input_mask", detect.input_mask(F.col("text"))),
-        sets, known, "seq", "ts", "user_id", "n_bytes", "input_mask")
-    governed = interval_join(screened, "seq", spans)
-    # with the limiter off a call is neither checked nor recorded: give it a
-    # quota of its own
-    quota = F.when(F.col("enable_rate_limiting"), F.concat(F.lit("u:"), "user_id")).otherwise(
-        F.concat(F.lit("s:"), F.col("seq").cast("string")))
-    limited = rate_limit(governed.withColumn("_quota", quota), user="_quota", window_us=window_us,
-                         max_requests=F.col("max_requests_per_minute"), hot_rows=hot_rows)
-    counts = {a: F.col(a) for a in ("block", "redact", "warn")}
-    judged = F.col("n_warnings").isNotNull()
-    verdicts = verdict_columns(limited, settings_of(None), counts).select(
-        *VERDICT, F.when(judged, F.col("hits")).alias("policy_hits"))
-
-    checks = _policy_hits(bare.where("tool = 'check_policy'"), sets, known, "seq", "ts").select(
-        "seq", "ts", (F.col("block") == 0).alias("allowed"),
-        (F.col("block") + F.col("redact")).alias("n_policy_violations"), F.col("warn").alias("n_warnings"),
-        F.col("hits").alias("policy_hits"))
-
-    filtered = redact(bare.where("tool = 'filter_output'").select("seq", "ts", "text"))
-    outputs = interval_join(
-        filtered, "seq", spans.select("from_seq", "to_seq", "enable_output_filtering")
-    ).select("seq", "ts",
-             (F.col("modified") & F.col("enable_output_filtering")).alias("modified"),
-             F.when(F.col("enable_output_filtering"), F.col("redacted")).otherwise(F.col("text")).alias("redacted"),
-             F.when(F.col("enable_output_filtering"), F.col("redactions")).alias("redactions"))
-
-    events = audit.events_of_verdicts(verdicts).unionByName(audit.events_of_outputs(outputs))
-    return Replay(verdicts, checks, outputs, events, settings, versions)
+
+    def __init__(self, calls: DataFrame, window_us: int, defaults: Config, policies, hot_rows: int):
+        spark = calls.sparkSession
+        ensure_checkpoint_dir(spark)
+        self._window_us, self._hot_rows = window_us, hot_rows
+        self._calls = calls.drop(*SWITCHES, *LIMITS)
+        control = calls.where("tool in ('update_config', 'add_policy', 'remove_policy')").select(
+            "seq", "tool", "name", "pattern", "action", "description", *FIELDS).checkpoint()
+        #: settings after each update_config call
+        self.settings = config_history(control.where("tool = 'update_config'").select("seq", *FIELDS), defaults=defaults)
+        self._spans = config_intervals(self.settings, defaults=defaults).checkpoint()
+        changes = control.where("tool <> 'update_config'").select(
+            "seq", F.when(F.col("tool") == "add_policy", "add").otherwise("remove").alias("op"),
+            "name", "pattern", "action", "description")
+        #: policy versions with the calls they hold for
+        self.versions = policy_versions(policy_table(spark, policies), changes).checkpoint()
+
+    @cached_property
+    def _sets(self):
+        return _sets_in_force(self.versions)
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        """One row per validate_input call."""
+        requests = self._calls.where("tool = 'validate_input'").withColumn(
+            "policy_names", F.lit(None).cast("array<string>"))
+        screened = _policy_hits(
+            requests.withColumn("n_bytes", detect.byte_length(F.col("text")))
+            .withColumn("input_mask", detect.input_mask(F.col("text"))),
+            *self._sets, "seq", "ts", "user_id", "n_bytes", "input_mask")
+        governed = interval_join(screened, "seq", self._spans)
+        # with the limiter off a call is neither checked nor recorded: give it
+        # a quota of its own
+        quota = F.when(F.col("enable_rate_limiting"), F.concat(F.lit("u:"), "user_id")).otherwise(
+            F.concat(F.lit("s:"), F.col("seq").cast("string")))
+        limited = rate_limit(governed.withColumn("_quota", quota), user="_quota", window_us=self._window_us,
+                             max_requests=F.col("max_requests_per_minute"), hot_rows=self._hot_rows)
+        counts = {a: F.col(a) for a in ("block", "redact", "warn")}
+        judged = F.col("n_warnings").isNotNull()
+        return verdict_columns(limited, settings_of(None), counts).select(
+            *VERDICT, F.when(judged, F.col("hits")).alias("policy_hits"))
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        """One row per check_policy call."""
+        asked = self._calls.where("tool = 'check_policy'")
+        return _policy_hits(asked, *self._sets, "seq", "ts").select(
+            "seq", "ts", (F.col("block") == 0).alias("allowed"),
+            (F.col("block") + F.col("redact")).alias("n_policy_violations"), F.col("warn").alias("n_warnings"),
+            F.col("hits").alias("policy_hits"))
+
+    @cached_property
+    def outputs(self) -> DataFrame:
+        """One row per filter_output call."""
+        filtered = redact(self._calls.where("tool = 'filter_output'").select("seq", "ts", "text"))
+        on = F.col("enable_output_filtering")
+        return interval_join(filtered, "seq", self._spans.select("from_seq", "to_seq", "enable_output_filtering")).select(
+            "seq", "ts", (F.col("modified") & on).alias("modified"),
+            F.when(on, F.col("redacted")).otherwise(F.col("text")).alias("redacted"),
+            F.when(on, F.col("redactions")).alias("redactions"))
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        """One row per logged event."""
+        return audit.events_of_verdicts(self.verdicts).unionByName(audit.events_of_outputs(self.outputs))
+
+
+def replay(calls: DataFrame, *, window_us: int = WINDOW_US, defaults: Config = Config(),
+           policies=POLICIES, hot_rows: int = HOT_ROWS) -> Replay:
+    """*calls*: tool calls (see ``sources.calls.tool_calls``) with a unique
+    order ``seq`` and a time ``ts``."""
+    return Replay(calls, window_us, defaults, policies, hot_rows)

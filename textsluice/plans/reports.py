@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import detect
+from ..functions.matching import exploded
 from ..functions.redact import redact
 from ..functions.rules import INPUT_RULES
 
@@ -12,7 +13,7 @@ from ..functions.rules import INPUT_RULES
 def redaction_report(texts: DataFrame, *by: str, text: str = "text") -> DataFrame:
     """Hits and hit bytes per category and *by* columns: one scan, one partial
     aggregation, a shuffle of one row per category and group."""
-    found = redact(texts.select(*by, text), text).select(*by, F.explode("redactions").alias("r"))
+    found = exploded(redact(texts.select(*by, text), text), [*by], F.col("redactions"), "r")
     return found.groupBy(*by, F.col("r.category").alias("category")).agg(
         F.count("*").alias("hits"), F.sum(F.col("r.original_length").cast("long")).alias("hit_bytes"))
 

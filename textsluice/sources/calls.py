@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.matching import computed_once
 from ..functions.rules import ANONYMOUS, AUDIT_PAGE
 from ..operators.config import LIMITS, SWITCHES
 
@@ -69,9 +70,9 @@ def parse_calls(lines: DataFrame, value: str = "value") -> DataFrame:
     or not one JSON value, and lines without string ``jsonrpc`` and ``method``
     are dropped."""
     text, call = F.col(value), F.col("call")
+    filled = lines.where(F.is_valid_utf8(text) & (F.trim(text) != ""))
     return (
-        lines.where(F.is_valid_utf8(text) & (F.trim(text) != ""))
-        .withColumn("call", _one_value(text))
+        computed_once(filled, "call", _one_value(text))
         .withColumn("method", _string(call, "$.method"))
         .where(_string(call, "$.jsonrpc").isNotNull() & F.col("method").isNotNull())
         .drop(value)
@@ -83,20 +84,18 @@ def tool_calls(parsed: DataFrame) -> DataFrame:
     for tool names that do nothing."""
     call = F.col("call")
     arg = "$.params.arguments."
-    return (
-        parsed.where(F.col("method") == "tools/call")
-        .withColumn("tool", F.coalesce(_string(call, "$.params.name"), F.lit("")))
-        .withColumn("known", F.col("tool").isin(*TOOLS))
-        .withColumn("text", F.coalesce(_string(call, arg + "text"), F.lit("")))
-        .withColumn("user_id", F.coalesce(_string(call, arg + "user_id"), F.lit(ANONYMOUS)))
-        .withColumn("policy_names", _names(call, arg + "policy_names"))
-        .withColumn("event_type", _string(call, arg + "event_type"))
-        .withColumn("limit", F.coalesce(_whole(call, arg + "limit"), F.lit(AUDIT_PAGE).cast("long")))
-        .withColumn("name", F.coalesce(_string(call, arg + "name"), F.lit("")))
-        .withColumn("pattern", F.coalesce(_string(call, arg + "pattern"), F.lit("")))
-        .withColumn("action", F.coalesce(_string(call, arg + "action"), F.lit("block")))
-        .withColumn("description", F.coalesce(_string(call, arg + "description"), F.lit("")))
-        .withColumns({f: _whole(call, arg + f) for f in LIMITS})
-        .withColumns({f: _switch(call, arg + f) for f in SWITCHES})
-        .drop("call", "method")
-    )
+    tool = F.coalesce(_string(call, "$.params.name"), F.lit(""))
+    keep = [c for c in parsed.columns if c not in ("call", "method")]
+    return parsed.where(F.col("method") == "tools/call").select(
+        *keep, tool.alias("tool"), tool.isin(*TOOLS).alias("known"),
+        F.coalesce(_string(call, arg + "text"), F.lit("")).alias("text"),
+        F.coalesce(_string(call, arg + "user_id"), F.lit(ANONYMOUS)).alias("user_id"),
+        _names(call, arg + "policy_names").alias("policy_names"),
+        _string(call, arg + "event_type").alias("event_type"),
+        F.coalesce(_whole(call, arg + "limit"), F.lit(AUDIT_PAGE).cast("long")).alias("limit"),
+        F.coalesce(_string(call, arg + "name"), F.lit("")).alias("name"),
+        F.coalesce(_string(call, arg + "pattern"), F.lit("")).alias("pattern"),
+        F.coalesce(_string(call, arg + "action"), F.lit("block")).alias("action"),
+        F.coalesce(_string(call, arg + "description"), F.lit("")).alias("description"),
+        *[_whole(call, arg + f).alias(f) for f in LIMITS],
+        *[_switch(call, arg + f).alias(f) for f in SWITCHES])
