@@ -259,7 +259,7 @@ def p_rule_join(spark, sf):
 
 
 def p_pages(spark, sf):
-    return policy_hits(pages(spark, sf), "page_id", text="html").select("page_id", "policy", "action")
+    return policy_hits(pages(spark, sf), "page_id", text="html", policies=ALL_POLICIES).select("page_id", "policy", "action")
 
 
 def changes(spark, sf) -> DataFrame:
@@ -281,7 +281,12 @@ def p_upsert(spark, sf):
 
 
 def p_remove(spark, sf):
-    return apply_changes(policy_table(spark), changes(spark, sf).where("op = 'remove'")).select("ord", "name", "action")
+    """A policy per document, less those whose numbers users with errors bear."""
+    one_each = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("ord"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("name"),
+        F.col("lang").alias("pattern"), F.lit("warn").alias("action"), F.col("source").alias("description"))
+    later = changes(spark, sf).where("op = 'remove'").withColumn("seq", F.col("seq") + 1_000_000_000)
+    return apply_changes(one_each, later).select("ord", "name", "pattern", "action")
 
 
 def p_versions(spark, sf):

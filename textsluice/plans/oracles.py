@@ -178,14 +178,13 @@ P = {
         WITH {PLANTED}, h AS ({_policy_rows('planted', 'doc_id', 't')})
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS position, policy, action, description FROM h""",
     "p_rule_join": f"WITH {PLANTED}, h AS ({_policy_rows('planted', 'doc_id', 't')}) SELECT doc_id, policy, action, description FROM h",
-    "p_pages": f"SELECT page_id, policy, action FROM ({_policy_rows('pages', 'page_id', 'html', POLICIES)})",
+    "p_pages": f"SELECT page_id, policy, action FROM ({_policy_rows('pages', 'page_id', 'html')})",
     "p_upsert": f"""
         WITH {CHANGES}, latest AS (SELECT * FROM (SELECT * FROM defaults UNION ALL SELECT * FROM effect) {_LAST})
         SELECT seq::BIGINT AS ord, name, pattern, action, description FROM latest WHERE op = 'add'""",
     "p_remove": f"""
-        WITH {CHANGES}, latest AS (
-            SELECT * FROM (SELECT * FROM defaults UNION ALL SELECT * FROM effect WHERE op = 'remove') {_LAST})
-        SELECT seq::BIGINT AS ord, name, action FROM latest WHERE op = 'add'""",
+        WITH {CHANGES} SELECT doc_id AS ord, 'p' || doc_id AS name, lang AS pattern, 'warn' AS action FROM documents
+        WHERE 'p' || doc_id NOT IN (SELECT name FROM raw WHERE op = 'remove')""",
     "p_versions": f"""
         WITH {CHANGES}, steps AS (
             SELECT seq + 1 AS from_seq, lead(seq + 1) OVER (PARTITION BY name ORDER BY seq) AS to_seq, name, op, action
@@ -277,6 +276,26 @@ def _fired(actions: tuple[str, ...], text: str = "text") -> str:
     return f"concat_ws(',', {parts})"
 
 
+def _records(items: list[str]) -> str:
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+_VALIDATION = f"""{{'valid': n_violations = 0, 'sanitized': {_replace('text', SANITIZE_RULES)}, 'violations': """ + _records(
+    [f"CASE WHEN {_size('text')} > {c.GATE_TOKENS * 4} THEN {{'category': 'LENGTH', 'description': "
+     f"'Input exceeds max length (' || {_size('text')} || ' > {c.GATE_TOKENS * 4})', 'severity': 'high'}} END"]
+    + [f"CASE WHEN {_hit('text', r)} THEN {{'category': '{r.category}', 'description': {literal(r.description)}, "
+       f"'severity': '{r.severity}'}} END" for r in INPUT_RULES]) + "}"
+
+
+def _policy_list(warnings: bool) -> str:
+    return _records([f"CASE WHEN {_hit('text', p)} THEN {{'policy': '{p.name}', 'action': '{p.action}', "
+                     f"'description': {literal(p.description)}}} END"
+                     for p in c.ALL_POLICIES if (p.action == "warn") == warnings])
+
+
+_POLICY = f"{{'allowed': n_block = 0, 'violations': {_policy_list(False)}, 'warnings': {_policy_list(True)}}}"
+
+
 def _switched(off: str) -> str:
     return f"""SELECT '{off}' AS off, seq, code, n_violations, n_policy_violations, n_warnings FROM (
         WITH {_coded(off).strip()} SELECT * FROM coded)"""
@@ -437,6 +456,14 @@ S = {
                     50::BIGINT AS "limit", name, pattern, action, max_requests_per_minute, enable_rate_limiting,
                     NULL::BOOLEAN AS enable_input_validation FROM calls""",
     "s_audit_sink": f"{AUDIT} {_EVENTS}",
+    "s_verdict_json": f"""{GATED}, parts AS (
+            SELECT seq, code, 'gr_' || md5('request:' || seq) AS request_id, {_REASON} AS reason,
+                   CASE WHEN n_violations IS NOT NULL THEN {_VALIDATION} END AS validation,
+                   CASE WHEN n_warnings IS NOT NULL THEN {_POLICY} END AS policy FROM coded)
+        SELECT seq, CASE WHEN code IS NULL
+            THEN to_json({{'allowed': true, 'request_id': request_id, 'validation': validation, 'policy': policy}})
+            ELSE to_json({{'allowed': false, 'request_id': request_id, 'reason': reason, 'code': code,
+                          'validation': validation, 'policy': policy}}) END::VARCHAR AS verdict FROM parts""",
 }
 
 
