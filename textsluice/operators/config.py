@@ -61,13 +61,15 @@ def config_intervals(history: DataFrame, *, seq: str = "seq", defaults: Config =
     return steps.unionByName(begin)
 
 
-def next_start(df: DataFrame, start: str = "from_seq", stop: str = "to_seq", *,
+def next_start(df: DataFrame, start: str = "from_seq", stop: str = "to_seq", *, keys: tuple[str, ...] = (),
                block: int = 1_000_000) -> DataFrame:
-    """Adds *stop*: the next row's *start*, or null on the last row.  Found per
-    block of the axis, and for a block's last row from the blocks after it."""
+    """Adds *stop*: the next row's *start* among rows of the same *keys*, or
+    null on the last one.  Found per block of the axis, and for a block's last
+    row from the blocks after it, so one key may hold most of the rows."""
     blocked = df.withColumn("_block", F.expr(f"{start} div {int(block)}"))
-    firsts = blocked.groupBy("_block").agg(F.min(start).alias("_first"))
-    following = firsts.select("_block", F.lead("_first").over(W.orderBy("_block")).alias("_next"))
-    inside = W.partitionBy("_block").orderBy(start)
-    return (blocked.withColumn(stop, F.lead(start).over(inside)).join(following, "_block", "left")
-            .withColumn(stop, F.coalesce(stop, "_next")).drop("_block", "_next"))
+    firsts = blocked.groupBy(*keys, "_block").agg(F.min(start).alias("_first"))
+    after = W.partitionBy(*keys).orderBy("_block") if keys else W.orderBy("_block")
+    following = firsts.select(*keys, "_block", F.lead("_first").over(after).alias("_next"))
+    inside = W.partitionBy(*keys, "_block").orderBy(start)
+    return (blocked.withColumn(stop, F.lead(start).over(inside)).join(following, [*keys, "_block"], "left")
+            .withColumn(stop, F.coalesce(stop, "_next")).select(*df.columns, stop))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.dialect import to_java
 from ..functions.matching import exploded
@@ -86,8 +86,7 @@ def policy_versions(table: DataFrame, changes: DataFrame) -> DataFrame:
     defaults = (table.withColumn("java", java_pattern("pattern")).withColumn("op", F.lit("add"))
                 .withColumnRenamed("ord", "seq"))
     steps = defaults.unionByName(change_effect(changes)).withColumn("from_seq", F.col("seq") + 1)
-    by_name = W.partitionBy("name").orderBy("from_seq")
-    return (steps.withColumn("to_seq", F.lead("from_seq").over(by_name)).where("op = 'add'")
+    return (next_start(steps, keys=("name",)).where("op = 'add'")
             .select("from_seq", "to_seq", "name", "pattern", "java", "action", "description"))
 
 
