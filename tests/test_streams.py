@@ -8,7 +8,7 @@ from textsluice.operators.gate import gate
 from textsluice.operators.limiter import rate_limit
 from textsluice.plans import catalog as c
 from textsluice.streaming.gate import stream_gate, write_with_handler
-from textsluice.streaming.limiter import stream_rate_limit
+from textsluice.streaming.limiter import limit_batches, stream_rate_limit
 
 DAY = 86_400_000_000
 
@@ -57,3 +57,19 @@ def test_handler_gets_every_batch(spark, slices, tmp_path):
         "maxFilesPerTrigger", 2).parquet(slices)
     write_with_handler(stream, f"{tmp_path}/out", lambda df, i: seen.append(df.count()), f"{tmp_path}/cp").awaitTermination()
     assert sum(seen) == spark.read.parquet(slices).count() and len(seen) >= 2
+
+
+@pytest.mark.parametrize("hot_rows", [10**9, 60])
+def test_limited_batches_are_batch(spark, slices, sf, tmp_path, hot_rows):
+    """A third of the rows share one key; state is carried between batches."""
+    def shared(df):
+        return df.drop("text").withColumn("user_id", F.when(F.col("seq") % 3 > 0, F.col("user_id")))
+
+    source = shared(spark.readStream.schema("seq long, ts timestamp, user_id string, text string").option(
+        "maxFilesPerTrigger", 2).parquet(slices))
+    limit_batches(source, f"{tmp_path}/out", f"{tmp_path}/cp", max_requests=3, window_us=DAY, hot_rows=hot_rows).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/data")
+    want = rate_limit(shared(c.requests(spark, sf)), max_requests=3, window_us=DAY)
+    cols = ["seq", "limited", "retry_after"]
+    assert {tuple(r) for r in got.select(cols).collect()} == {tuple(r) for r in want.select(cols).collect()}
+    assert got.where("limited").count() > 100

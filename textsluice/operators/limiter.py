@@ -206,17 +206,18 @@ def _cut_hot_users(keyed: DataFrame, hot: list, hot_rows: int) -> DataFrame:
             .withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("long"))))
 
 
-def _entering_stamps(rows: DataFrame, window: int, lookahead: int) -> DataFrame:
+def _entering_stamps(rows: DataFrame, window: int, lookahead: int, carried: DataFrame | None) -> DataFrame:
     """(user, chunk, stamps) alive at the start of every later chunk of the hot
-    users, by repeating chunks until their entering stamps stand still."""
+    users, by repeating chunks until their entering stamps stand still.
+    *carried* are the stamps their first chunks start from."""
     leave_schema = "_user string, _chunk long, stamps array<bigint>"
     rows = rows.checkpoint()
     chunks = rows.select("_user", "_chunk").distinct()
 
-    def leaving(part: DataFrame, entering: DataFrame | None, turn: int) -> DataFrame:
+    def leaving(part: DataFrame, seeds: DataFrame | None, turn: int) -> DataFrame:
         part = part.withColumn("_seed", F.lit(False))
-        if entering is not None:
-            part = part.unionByName(_seed_rows(entering))
+        if seeds is not None:
+            part = part.unionByName(seeds)
         return (_in_order(part).mapInArrow(_leave(window), leave_schema)
                 .withColumn("turn", F.lit(turn)).checkpoint())
 
@@ -225,7 +226,9 @@ def _entering_stamps(rows: DataFrame, window: int, lookahead: int) -> DataFrame:
                 .agg(F.max_by("stamps", "turn").alias("stamps"), F.max("turn").alias("turn"))
                 .checkpoint())
 
-    left = leaving(rows, None, 0)
+    if carried is not None:
+        carried = carried.join(rows.select("_user").distinct(), "_user", "left_semi").select(*_KEYS)
+    left = leaving(rows, carried, 0)
     used = rows.sparkSession.createDataFrame([], leave_schema + ", turn int")
     key = ["_user", "_chunk"]
     for turn in count(1):
@@ -240,32 +243,42 @@ def _entering_stamps(rows: DataFrame, window: int, lookahead: int) -> DataFrame:
         )
         if stale.isEmpty():
             return used
-        left = newest(left, leaving(rows.join(stale.select(key), key, "left_semi"), stale, turn))
+        left = newest(left, leaving(
+            rows.join(stale.select(key), key, "left_semi"), _seed_rows(stale), turn))
         used = newest(used, stale)
 
 
+def quota_key(user: str = "user_id", tenant: str | None = None) -> Column:
+    """Whose quota a request uses, as a string."""
+    who = F.coalesce(F.col(user).cast("string"), F.lit(ANONYMOUS))
+    if tenant is None:
+        return who
+    return F.to_json(F.struct(F.col(tenant).alias("t"), who.alias("u")), {"ignoreNullFields": "false"})
+
+
+def order_micros(df: DataFrame, ts: str) -> Column:
+    return F.col(ts) if dict(df.dtypes)[ts] == "bigint" else micros(F.col(ts))
+
+
 def rate_limit(df: DataFrame, *, max_requests: int | Column = MAX_REQUESTS,
                window_us: int = WINDOW_US, user: str = "user_id", ts: str = "ts",
                seq: str = "seq", tenant: str | None = None, hot_rows: int = HOT_ROWS,
-               lookahead: int = LOOKAHEAD) -> DataFrame:
+               lookahead: int = LOOKAHEAD, carried: DataFrame | None = None) -> DataFrame:
     """Adds ``limited`` and ``retry_after`` (whole seconds, null when admitted).
 
     Requests are taken in the order of (*ts*, *seq*) per user; a null user is
     ``anonymous``.  *max_requests* may be a column, for limits that change over
     time.  Pass narrow rows: every column of *df* goes through the shuffle.
-    With *tenant* each (tenant, user) pair has its own quota.
+    With *tenant* each (tenant, user) pair has its own quota.  *carried*
+    (quota_key, us) holds stamps admitted before these rows.
     """
     if not isinstance(max_requests, Column):
         if max_requests < 1:
             raise ValueError("max_requests must be at least 1")
         max_requests = F.lit(max_requests)
     names = df.columns
-    who = F.coalesce(F.col(user).cast("string"), F.lit(ANONYMOUS))
-    if tenant is not None:
-        who = F.to_json(F.struct(F.col(tenant).alias("t"), who.alias("u")), {"ignoreNullFields": "false"})
     keyed = (
-        df.withColumn("_user", who)
-        .withColumn("_us", F.col(ts).cast("long") if dict(df.dtypes)[ts] == "bigint" else micros(F.col(ts)))
+        df.withColumn("_user", quota_key(user, tenant)).withColumn("_us", order_micros(df, ts))
         .withColumn("_seq", F.col(seq).cast("long")).withColumn("_cap", max_requests.cast("long"))
         .withColumn("_chunk", F.lit(0).cast("long"))
     )
@@ -273,14 +286,16 @@ def rate_limit(df: DataFrame, *, max_requests: int | Column = MAX_REQUESTS,
     hot = (keyed.groupBy("_user")
            .agg(F.count("*").alias("n"), F.min("_us").alias("first_us"), F.max("_us").alias("last_us"))
            .where(F.col("n") > hot_rows).collect())
-    seeds = None
+    seeds = None if carried is None else _seed_rows(carried.select(
+        F.col("quota_key").alias("_user"), F.lit(0).cast("long").alias("_chunk"), F.array("us").alias("stamps")))
     if hot:
         ensure_checkpoint_dir(df.sparkSession)
         keyed = _cut_hot_users(keyed, hot, hot_rows)
         is_hot = keyed.sparkSession.createDataFrame([(r["_user"],) for r in hot], "_user string")
         is_hot = F.broadcast(is_hot) if len(hot) <= BROADCAST_ROWS else is_hot
         narrow = keyed.select("_user", "_chunk", "_us", "_seq", "_cap").join(is_hot, "_user", "left_semi")
-        seeds = _seed_rows(_entering_stamps(narrow, window_us, lookahead))
+        later = _seed_rows(_entering_stamps(narrow, window_us, lookahead, seeds))
+        seeds = later if seeds is None else seeds.unionByName(later)
     rows = keyed.withColumn("_seed", F.lit(False))
     if seeds is not None:
         rows = rows.unionByName(seeds, allowMissingColumns=True)

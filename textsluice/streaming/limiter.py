@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.rules import ANONYMOUS, MAX_REQUESTS, WINDOW_US
-from ..operators.limiter import admit, micros
+from ..functions.rules import MAX_REQUESTS, WINDOW_US
+from ..operators.limiter import HOT_ROWS, admit, order_micros, quota_key, rate_limit
 
 _LIVE = T.StructType([T.StructField("live", T.ArrayType(T.LongType()))])
 
@@ -22,7 +22,8 @@ def stream_rate_limit(stream: DataFrame, *, max_requests: int = MAX_REQUESTS, wi
     micro-batch are taken by (*ts*, *seq*).  State is the live stamps of a user,
     at most ``max_requests`` of them, in the state store.  Size micro-batches
     at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``): a user's
-    rows of one micro-batch meet in one task.
+    rows of one micro-batch meet in one task.  Where that may be too many, use
+    :func:`limit_batches`.
 
     With *idle_ms* and a watermark on *ts*, a user idle that long is forgotten
     once the watermark shows every stamp to be expired, which changes no
@@ -59,9 +60,41 @@ def stream_rate_limit(stream: DataFrame, *, max_requests: int = MAX_REQUESTS, wi
         out.loc[~limited, "retry_after"] = pd.NA
         yield out
 
-    us = F.col(ts).cast("long") if dict(stream.dtypes)[ts] == "bigint" else micros(F.col(ts))
-    keyed = (stream.withColumn("_user", F.coalesce(F.col(user).cast("string"), F.lit(ANONYMOUS)))
-             .withColumn("_us", us).withColumn("_seq", F.col(seq).cast("long")))
+    keyed = (stream.withColumn("_user", quota_key(user)).withColumn("_us", order_micros(stream, ts))
+             .withColumn("_seq", F.col(seq).cast("long")))
     return keyed.groupBy("_user").applyInPandasWithState(
         step, schema, _LIVE, "append",
         GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def limit_batches(stream: DataFrame, path: str, checkpoint: str, *, max_requests: int = MAX_REQUESTS,
+                  window_us: int = WINDOW_US, user: str = "user_id", ts: str = "ts", seq: str = "seq",
+                  tenant: str | None = None, hot_rows: int = HOT_ROWS, **trigger):
+    """Runs the batch limiter on every micro-batch and starts the query.
+
+    For streams in which one user may send much of a micro-batch: rows are
+    sorted by Spark and hot users are cut into chunks.  Decisions are written
+    to ``path/data/batch=N`` and the stamps alive afterwards to
+    ``path/state/batch=N``, so a repeated batch starts from the same state and
+    replaces its own files.  *path* must be a folder all executors share.
+    """
+    def step(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        before = None
+        if batch_id > 0:
+            before = spark.read.schema("quota_key string, us long").parquet(f"{path}/state/batch={batch_id - 1}")
+        decided = rate_limit(batch, max_requests=max_requests, window_us=window_us, user=user, ts=ts, seq=seq,
+                             tenant=tenant, hot_rows=hot_rows, carried=before)
+        decided.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+        written = spark.read.schema(decided.schema).parquet(f"{path}/data/batch={batch_id}")
+        stamps = written.where(~F.col("limited")).select(
+            quota_key(user, tenant).alias("quota_key"), order_micros(written, ts).alias("us"))
+        stamps = stamps if before is None else stamps.unionByName(before)
+        # within a window of a user's last admission there are at most
+        # max_requests stamps, and no older one can matter again
+        last = stamps.groupBy("quota_key").agg(F.max("us").alias("last_us"))
+        alive = stamps.join(last, "quota_key").where(F.col("us") > F.col("last_us") - window_us)
+        alive.select("quota_key", "us").write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+
+    return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
