@@ -22,7 +22,7 @@ from ..sources import sinks
 from ..sources.calls import parse_calls, tool_calls
 from ..sources.tables import spread, table
 from ..streaming.gate import stream_gate, stream_rollup
-from ..streaming.limiter import stream_rate_limit
+from ..streaming.limiter import limit_batches, stream_rate_limit
 from .payloads import OUTPUT_PAYLOADS, REQUEST_PAYLOADS, RULE_PAYLOADS, with_payload
 from .replay import Replay, replay
 from .reports import redaction_report, rule_report, validation_summary
@@ -339,6 +339,14 @@ def r_stream(spark, sf):
         max_requests=LIMIT, window_us=DAY_US, ts="us")).select("seq", "limited", "retry_after")
 
 
+def r_stream_batches(spark, sf):
+    """The batch limiter run on micro-batches with carried stamps."""
+    out = _scratch(spark)
+    stream = _event_stream(spark, sf).select(F.col("event_id").alias("seq"), "us", _user().alias("user_id"))
+    limit_batches(stream, out + "/limits", out + "/offsets", max_requests=LIMIT, window_us=DAY_US, ts="us").awaitTermination()
+    return spark.read.parquet(out + "/limits/data").select("seq", "limited", "retry_after")
+
+
 def _event_stream(spark, sf) -> DataFrame:
     _tables(spark)
     schema = table(spark, sf, "events").schema
@@ -632,6 +640,7 @@ QUERIES: dict[str, Query] = {
     "r_tenant": r_tenant,
     "r_active_users": r_active_users,
     "r_stream": r_stream,
+    "r_stream_batches": r_stream_batches,
     "g_verdict": g_verdict,
     "g_codes": g_codes,
     "g_detail": g_detail,

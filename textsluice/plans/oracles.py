@@ -226,6 +226,7 @@ R = {
                  + " SELECT seq, limited, retry_after FROM lim",
     "r_tenant": _limited_events("user_id || '/' || event_type", 1) + " SELECT seq, limited, retry_after FROM lim",
     "r_active_users": f"SELECT count(DISTINCT {_USER_50}) AS active_users FROM events",
+    "r_stream_batches": f"{_limited_events(_USER_50)} SELECT seq, limited, retry_after FROM lim",
     "r_stream": f"{_limited_events(_USER)} SELECT seq, limited, retry_after FROM lim",
 }
 
