@@ -97,8 +97,8 @@ ORACLES = {
                CASE WHEN n >= 100 AND page_id <> lead THEN lead END AS refers_to
         FROM g""",
     "op7_topk": """
-        WITH c AS (SELECT vec_id, list_reduce(list_prepend(0::HUGEINT, list_transform(range(64), i -> CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i) ELSE 0::HUGEINT END)),
-                          (a, b) -> a + b)::UBIGINT AS code FROM embeddings),
+        WITH c AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i) ELSE 0::HUGEINT END))::UBIGINT AS code
+                   FROM embeddings),
         d AS (SELECT q.vec_id AS query_id, v.vec_id, bit_count(xor(q.code, v.code))::BIGINT AS distance FROM c q, c v WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
         SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10""",
