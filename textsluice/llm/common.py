@@ -90,6 +90,23 @@ def rolled(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
+def bitmap(df: DataFrame, name: str, bits: int) -> np.ndarray:
+    """A bitmap of the upper ``bits`` of well mixed hashes in a long column; its
+    size is fixed, however many there are."""
+    at = F.shiftrightunsigned(name, 64 - bits)
+    words = (df.select((at / 64).cast("int").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("b"))
+             .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toArrow())
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(seen: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes may be in the bitmap."""
+    bit = hashes >> np.uint64(64 - bits)
+    return (seen[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def marked(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 24) -> DataFrame:
     """``df`` with ``_near``: false where ``key`` is surely not in ``wanted``.
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textsluice.llm.common import arrow_map, bytes_of, kept, mixed, sliced, WordHashes
+from textsluice.llm.common import WordHashes, arrow_map, bitmap, bytes_of, in_bitmap, kept, mixed, sliced
 
 #: Words of an overlap; shorter items are compared whole.
 OVERLAP = 13
@@ -81,16 +81,6 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     return arrow_map(rows, _item_seeds, "seed long, item_id long, words long, item_words array<long>").dropDuplicates(["seed", "item_id", "item_words"])
 
 
-def seed_map(seeds: DataFrame) -> np.ndarray:
-    """A bitmap of the seeds; its size is fixed, however many seeds there are."""
-    at = F.shiftrightunsigned("seed", 64 - MAP_BITS)
-    words = (seeds.select((at / 64).cast("int").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("b"))
-             .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toArrow())
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    return out
-
-
 def _document_seeds(shared, shapes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hashes, every = shared.value, WordHashes(), _shapes()
@@ -100,8 +90,7 @@ def _document_seeds(shared, shapes: list[int]):
             for shape in shapes:
                 span, count = every[shape]
                 seeds = _seeds(h, shape, span, count)
-                bit = seeds >> np.uint64(64 - MAP_BITS)
-                at = np.flatnonzero(seen[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+                at = np.flatnonzero(in_bitmap(seen, seeds, MAP_BITS))
                 who = np.searchsorted(begins, at, side="right") - 1
                 fit = (who >= 0) & (at + span <= (begins + np.array(counts))[who])
                 at, who = at[fit], who[fit]
@@ -127,7 +116,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = kept(item_seeds(benchmark.where(F.col("item_id").isNotNull())), "item-seeds")
     lengths = {r[0] for r in items.select(F.least("words", F.lit(SPAN))).distinct().collect()}    # at most SPAN rows
     shapes = [k for k, (span, _) in enumerate(_shapes()) if span in lengths]
-    shared = docs.sparkSession.sparkContext.broadcast(seed_map(items))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(items, "seed", MAP_BITS))
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
     found = rows.mapInArrow(_document_seeds(shared, shapes), "seed long, doc_id long, doc_words array<long>")
     equal = found.join(items, "seed").select("doc_id", "item_id", "words", F.zip_with(
