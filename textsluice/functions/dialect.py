@@ -30,6 +30,10 @@ _POSIX = {
 }
 # characters that fold to an ASCII letter besides its own other case
 _EXTRA_FOLDS = {"s": "\u017f", "k": "\u212a"}
+# Properties that both dialects know; others are refused, since a pattern that
+# does not compile would end the job that uses it.
+_CATEGORIES = frozenset("L Lu Ll Lt Lm Lo M Mn Mc Me N Nd Nl No P Pc Pd Ps Pe Pi Pf Po S Sm Sc Sk So Z Zs Zl Zp C Cc Cf Co Cn".split())
+_SCRIPTS = frozenset("latin greek cyrillic han hiragana katakana arabic hebrew thai hangul devanagari alphabetic".split())
 _CATEGORY_NAMES = {
     "letter": "L", "mark": "M", "number": "N", "punctuation": "P", "symbol": "S",
     "separator": "Z", "other": "C", "uppercase_letter": "Lu",
@@ -178,7 +182,9 @@ class _Translator:
         negate = (letter == "P") != name.startswith("^")
         name = name.lstrip("^").split("=")[-1].split(":")[-1]
         plain = _CATEGORY_NAMES.get(name.lower(), name)
-        java = plain if len(plain) <= 2 else "Is" + plain
+        if plain not in _CATEGORIES and plain.lower() not in _SCRIPTS:
+            self.fail("unknown property")
+        java = plain if plain in _CATEGORIES else "Is" + plain
         return f"\\{'P' if negate else 'p'}{{{java}}}"
 
     def escape(self, flags: frozenset) -> str:

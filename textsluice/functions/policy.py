@@ -19,13 +19,12 @@ def _slices(policies: Sequence[Policy]) -> list[Sequence[Policy]]:
     return [policies[i:i + SLICE] for i in range(0, len(policies), SLICE)]
 
 
-def policy_masks(text: Column, policies: Sequence[Policy] = POLICIES, names: Column | None = None,
-                 in_force: Sequence[Column] | None = None) -> Column:
+def policy_masks(text: Column, policies: Sequence[Policy] = POLICIES, names: Column | None = None) -> Column:
     """``array<bigint>``: one bit per policy that fires, 60 policies to a mask.
 
     *names* (``array<string>`` per row) restricts the policies looked at: null
     means all, an empty array none; unknown names are ignored.  The name is
-    tested before the text, as is *in_force*, one condition per policy.
+    tested before the text.
     """
     folded = case_folded(text)
 
@@ -33,7 +32,7 @@ def policy_masks(text: Column, policies: Sequence[Policy] = POLICIES, names: Col
         hit = hits(policies[at], text, folded)
         if names is not None:
             hit = (names.isNull() | F.array_contains(names, policies[at].name)) & hit
-        return hit if in_force is None else in_force[at] & hit
+        return hit
 
     masks = [
         reduce(lambda a, b: a.bitwiseOR(b),

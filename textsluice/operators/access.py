@@ -19,14 +19,14 @@ EXTRA_OUTPUT_RULES = (
 
 
 def host_of(url: Column) -> Column:
-    return F.try_parse_url(url, F.lit("HOST"))
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
 def outside_allowlist(df: DataFrame, domains: DataFrame, url: str = "url") -> DataFrame:
     """Rows whose host is not a listed bare domain; an unparsable address is
     outside.  *domains* has a ``domain`` column."""
     return df.withColumn("host", host_of(F.col(url))).join(
-        domains.select(F.col("domain").alias("host")), "host", "left_anti").select(*df.columns, host_of(F.col(url)).alias("host"))
+        domains.select(F.lower("domain").alias("host")), "host", "left_anti").select(*df.columns, host_of(F.col(url)).alias("host"))
 
 
 def denied(requests: DataFrame, grants: DataFrame, on: Sequence[str] = ("role", "resource")) -> DataFrame:

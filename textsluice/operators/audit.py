@@ -88,7 +88,7 @@ def totals(audit: DataFrame) -> DataFrame:
 def get_stats(audit: DataFrame, requests: DataFrame, config: Config = Config()) -> DataFrame:
     """One row: users the limiter has seen, event counters over the whole log
     (not cut by retention), and the settings in force."""
-    users = active_users(requests)
+    users = active_users(requests if config.enable_rate_limiting else requests.limit(0))    # only the limiter sees users
     both = (
         totals(audit).withColumn("active_users", F.lit(0).cast("long"))
         .unionByName(users.withColumn("total_requests", F.lit(0).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import detect, policy as pol
 from ..functions.matching import exploded
@@ -74,15 +74,24 @@ def _user() -> Column:
     return F.when(F.col("event_id") % 50 != 0, F.col("user_id").cast("string"))
 
 
-def _first_turns(spark, sf) -> DataFrame:
-    return (table(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id")
-            .agg(F.min_by("text", "turn").alias("turn_text")))
+def _user_turns(spark, sf) -> DataFrame:
+    """All user turns, numbered in their conversation: conv_id, at, turns, turn_text."""
+    turns = W.partitionBy("conv_id")
+    return table(spark, sf, "conversations").where("role = 'user'").select(
+        "conv_id", F.col("text").alias("turn_text"), (F.row_number().over(turns.orderBy("turn")) - 1).alias("at"),
+        F.count("*").over(turns).alias("turns"))
 
 
 def _with_turn(ev: DataFrame, spark, sf) -> DataFrame:
-    """Every event with a conversation's first user turn, by event_id modulo."""
+    """Every event with a user turn: event_id modulo the conversations picks the
+    conversation, and the rounds taken so far pick the turn, so the events go
+    through all turns of all conversations.  An event whose conversation has no
+    user turn has an empty text."""
     n = table(spark, sf, "conversations").agg(F.max("conv_id")).first()[0] + 1
-    return ev.withColumn("conv_id", F.col("event_id") % n).join(_first_turns(spark, sf), "conv_id")
+    turns, event = _user_turns(spark, sf), F.col("event_id")
+    own = (event % n == turns.conv_id) & (F.floor(event / n) % turns.turns == turns["at"])
+    joined = ev.join(turns, own, "left").withColumn("turn_text", F.coalesce("turn_text", F.lit("")))
+    return joined.drop("conv_id", "at", "turns")
 
 
 def as_requests(ev: DataFrame, spark, sf) -> DataFrame:
@@ -437,13 +446,17 @@ def a_rollup_users(spark, sf):
 
 
 def a_stream(spark, sf):
-    """Windowed counts of an audit stream; windows the watermark has not
-    passed at the end of the input stay open."""
+    """Windowed counts of an audit stream, with the windows that are still open
+    when the input ends."""
     stream = _event_stream(spark, sf).select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "error", "INPUT_BLOCKED").when(F.col("event_type") == "view", "RATE_LIMIT_EXCEEDED")
         .otherwise("INPUT_PROCESSED").alias("event_type"))
-    return _flat_rollup(_run_stream(spark, stream_rollup(stream, "event_type")))
+    out = _scratch(spark)
+    rolled = stream_rollup(stream, "event_type")
+    (rolled.writeStream.outputMode("complete").option("checkpointLocation", out + "/state").trigger(availableNow=True)
+     .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out + "/data")).start().awaitTermination())
+    return _flat_rollup(spark.read.schema(rolled.schema).parquet(out + "/data"))
 
 
 # -- configuration and replay --------------------------------------------------
@@ -564,7 +577,7 @@ def d_allowlist(spark, sf):
 def d_rbac(spark, sf):
     ev = events(spark, sf).select("event_id", "user_id", F.col("event_type").alias("resource"))
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("role"))
-    asked = ev.join(customers, "user_id")
+    asked = ev.join(customers, "user_id", "left")       # users without a role are denied
     grants = (table(spark, sf, "customer").select(F.col("c_mktsegment").alias("role")).distinct()
               .withColumn("resource", F.explode(F.array(*[F.lit(x) for x in ("view", "click", "signup")])))
               .where(~((F.col("role") == "BUILDING") & (F.col("resource") == "signup"))))

@@ -232,11 +232,14 @@ R = {
 
 
 # -- gate ----------------------------------------------------------------------
-TURNS = "turns AS (SELECT conv_id, arg_min(text, turn) AS turn_text FROM conversations WHERE role = 'user' GROUP BY conv_id)"
+TURNS = """turns AS (SELECT conv_id, text AS turn_text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at,
+                         count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations WHERE role = 'user'),
+    picked AS (SELECT events.*, coalesce(turn_text, '') AS turn_text FROM events CROSS JOIN (SELECT max(conv_id) + 1 AS convs FROM conversations)
+               LEFT JOIN turns ON turns.conv_id = event_id % convs AND turns.at = (event_id // convs) % turns.turns)"""
 REQUESTS = f"""{TURNS},
     req AS (SELECT event_id AS seq, {US} AS us, {_USER_50} AS user_id,
                    {sql_payload('turn_text', 'event_id', REQUEST_PAYLOADS)} AS text
-            FROM events JOIN turns ON turns.conv_id = events.event_id % (SELECT max(conv_id) + 1 FROM conversations))"""
+            FROM picked)"""
 
 
 def _counted(source: str = "req") -> str:
@@ -357,7 +360,7 @@ A = {
                            ELSE 'INPUT_PROCESSED' END AS event_type FROM events),
              log AS (SELECT *, event_type <> 'INPUT_PROCESSED' AS blocked FROM ev),
              rolled AS (SELECT {_window('us')} AS window_us, event_type, {_COUNTS} FROM log GROUP BY 1, 2)
-        SELECT * FROM rolled WHERE window_us + {c.DAY_US} <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM ev)""",
+        SELECT * FROM rolled""",
 }
 
 
@@ -379,7 +382,7 @@ _TOOL = """CASE WHEN n % 101 BETWEEN 1 AND 4 THEN NULL WHEN n % 101 = 5 THEN 'un
            WHEN n % 10 = 4 THEN 'check_policy' ELSE 'validate_input' END"""
 CALLS = f"""{TURNS},
     raw AS (SELECT event_id AS n, {US} AS us, user_id, {sql_payload('turn_text', 'event_id', REQUEST_PAYLOADS)} AS raw_text
-            FROM events JOIN turns ON turns.conv_id = events.event_id % (SELECT max(conv_id) + 1 FROM conversations)),
+            FROM picked),
     tooled AS (SELECT *, {_TOOL} AS tool FROM raw),
     calls AS (
         SELECT n AS seq, us, tool, tool <> 'unknown_tool' AS known,
@@ -476,8 +479,8 @@ D = {
     "d_block_rate": f"""{AUDIT}, r AS (SELECT {_window('us')} AS window_us, {_COUNTS} FROM audit GROUP BY 1)
         SELECT window_us, events, blocked, round(blocked / events, 6) AS block_rate, rate_limit_hits FROM r""",
     "d_allowlist": f"SELECT page_id, url, {_HOST} AS host FROM pages WHERE {_HOST} NOT LIKE '%.org'",
-    "d_rbac": """SELECT event_id, c_mktsegment AS role, event_type AS resource FROM events JOIN customer ON c_custkey = user_id
-        WHERE event_type NOT IN ('view', 'click', 'signup') OR (c_mktsegment = 'BUILDING' AND event_type = 'signup')""",
+    "d_rbac": """SELECT event_id, c_mktsegment AS role, event_type AS resource FROM events LEFT JOIN customer ON c_custkey = user_id
+        WHERE c_mktsegment IS NULL OR event_type NOT IN ('view', 'click', 'signup') OR (c_mktsegment = 'BUILDING' AND event_type = 'signup')""",
     "d_quota": f"""WITH u AS (SELECT event_id AS seq, user_id, count(*) OVER (PARTITION BY user_id, {US} // {c.DAY_US}
                                ORDER BY {US}, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events)
         SELECT seq, used, c_custkey % 4 AS quota, coalesce(used > c_custkey % 4, false) AS over

@@ -59,7 +59,7 @@ def _one_value(text: Column) -> Column:
     after the first value, so the line is read as the first of two array items
     whose second, a digest of the line, shows that nothing else was in it."""
     digest = F.md5(text)
-    items = F.from_json(F.concat(F.lit("["), text, F.lit(', "'), digest, F.lit('"]')), "array<variant>")
+    items = F.from_json(F.concat(F.lit("["), text, F.lit(', "'), digest, F.lit('"]')), "array<variant>", {"maxStringLen": str(2**31 - 1)})
     last = F.try_variant_get(items[1], "$", "string")
     return F.when((F.size(items) == 2) & (last == digest), items[0])
 
@@ -68,7 +68,9 @@ def parse_calls(lines: DataFrame, value: str = "value") -> DataFrame:
     """Keeps the other columns of *lines* (such as seq and ts) and adds
     ``method`` and the variant ``call``.  Blank lines, lines that are not UTF-8
     or not one JSON value, and lines without string ``jsonrpc`` and ``method``
-    are dropped."""
+    are dropped.  Of a repeated key the last value counts; a text may have any
+    length."""
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text, call = F.col(value), F.col("call")
     filled = lines.where(F.is_valid_utf8(text) & (F.trim(text) != ""))
     return (

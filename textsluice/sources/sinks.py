@@ -17,14 +17,6 @@ def verdict_json(allowed: str = "allowed") -> Column:
         F.to_json(F.struct(allowed, "request_id", "reason", "code", *ends), keep_nulls))
 
 
-def redaction_json() -> Column:
-    """A redaction result as JSON; ``redactions`` is left out when filtering
-    was off."""
-    modified, text = F.col("modified"), F.col("redacted").alias("text")
-    return F.when(F.col("redactions").isNull(), F.to_json(F.struct(modified, text))).otherwise(
-        F.to_json(F.struct(modified, text, "redactions")))
-
-
 def _by_day(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("day", F.to_date(ts))
 
