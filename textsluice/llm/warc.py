@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from textsluice.llm.common import marked
+
 #: Payloads of fewer bytes are stored again rather than revisited.
 LEAST_REVISIT = 100
 #: Records in a file at most, so that a file is read within a task's memory.
@@ -55,10 +57,12 @@ def captures_of(pages: DataFrame) -> DataFrame:
                         _uuid(F.col("lead_id"), F.col("lead_url"), F.col("digest"), F.lit(0), F.lit("response")).alias("refers")))
     gone = shared.where("not leads").select("page_id", "url", "digest")
     often = shared.where("leads and n > 1").select("page_id", "url", "digest")
-    by = lambda t: [large.page_id.eqNullSafe(t.page_id), large.url.eqNullSafe(t.url), large.digest == t.digest]
-    once = large.join(often, by(often), "left_semi").dropDuplicates(["page_id", "url", "digest"])
+    near = marked(large, F.col("digest"), shared, F.col("digest"))       # payloads that no other page has are not shuffled
+    alone, some = near.where("not _near").drop("_near"), near.where("_near").drop("_near")
+    by = lambda t: [some.page_id.eqNullSafe(t.page_id), some.url.eqNullSafe(t.url), some.digest == t.digest]
+    once = some.join(often, by(often), "left_semi").dropDuplicates(["page_id", "url", "digest"])
     rest = gone.unionByName(often)
-    responses = (large.join(rest, by(rest), "left_anti").unionByName(once)
+    responses = (alone.unionByName(some.join(rest, by(rest), "left_anti")).unionByName(once)
                  .select("page_id", "url", "body", "digest", "size", F.lit(0).cast("long").alias("copy"), F.lit("response").alias("kind"),
                          F.lit(None).cast("string").alias("refers")))
     return responses.unionByName(revisits).unionByName(small)
