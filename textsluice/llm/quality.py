@@ -29,12 +29,15 @@ _TO_GROUP = np.zeros((256, len(_GROUPS)))
 for _k, _members in enumerate(_GROUPS.values()):
     _TO_GROUP[list(_members), _k] = 1
 N_STATS = len(_GROUPS) + 11
+#: Bytes counted at a time, as counting widens them.
+_PART = 1 << 20
 
 
 def statistics(text: bytes) -> np.ndarray:
     """Statistics of a whole text: kinds of characters, words, lines, repetition."""
     n = len(text)
-    counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    counts = sum((np.bincount(np.frombuffer(text, np.uint8, min(_PART, n - at), at), minlength=256) for at in range(0, n, _PART)),
+                 np.zeros(256, np.int64))
     share = counts @ _TO_GROUP / max(n, 1)
     words, lines = text.split(), text.split(b"\n")
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -50,7 +53,7 @@ def statistics(text: bytes) -> np.ndarray:
 
 
 def _stats_batch(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-    rows = [statistics(t) for t in batch.column(1).to_pylist()]
+    rows = [statistics(t.as_py()) for t in batch.column(1)]
     yield from sliced([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
@@ -161,13 +164,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     threshold on) in place of columns of these names, each row where it is read.
     Null and empty texts are scored like others."""
     docs = docs.drop("score", "predicted")
-    names = [*docs.columns, "score", "predicted"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
-    def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        score = shared.value.score(np.array([statistics(t) for t in texts]).reshape(-1, N_STATS))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=names)
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        x = [statistics(t.as_py()) for t in texts]
+        return pa.array(shared.value.score(np.array(x).reshape(-1, N_STATS)))
 
-    return arrow_map(docs.select("*", bytes_of("text")), run, schema)
+    return (docs.withColumn("score", score(bytes_of("text")))
+            .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))
