@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from textsluice.operators import access, audit
 from textsluice.operators.config import FIELDS, Config, config_history, config_intervals
 from textsluice.operators.gate import detailed_gate, gate
 from textsluice.operators.intervals import interval_join, running_last, running_total
-from textsluice.plans import replay as replay_plan
 from textsluice.plans.replay import replay
 from textsluice.sources import sinks
 from textsluice.sources.calls import parse_calls, read_lines, tool_calls
@@ -129,9 +129,26 @@ def test_interval_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_overlapping_and_clustered_intervals(spark):
+    """Long, open, nested and clustered intervals, by key and as a semi join."""
+    rng = random.Random(5)
+    iv = [(rng.randrange(10**6), 0) for _ in range(150)] + [(5_000 + rng.randrange(50), 0) for _ in range(150)]
+    iv = [(a, a + rng.choice([1, 2, 3, 64, 1_000, 300_000]), rng.choice("xy")) for a, _ in iv] + [(None, 9, "x"), (999_000, None, "y"), (7, 7, "x")]
+    at = [(rng.randrange(-5, 1_100_000), rng.choice("xy")) for _ in range(300)] + [(5_000 + i, "x") for i in range(60)]
+    rows, spans = spark.createDataFrame(at, "at long, k string"), spark.createDataFrame(iv, "from_seq long, to_seq long, k string")
+
+    def holds(a, f, t):
+        return (f is None or a >= f) and (t is None or a < t)
+    spans = spans.withColumn("f", F.col("from_seq")).withColumn("t", F.col("to_seq"))
+    got = sorted((r.at, r.k, str(r.f), str(r.t)) for r in interval_join(rows, "at", spans, how="inner", on=("k",)).collect())
+    assert got == sorted((a, k, str(f), str(t)) for a, k in at for f, t, j in iv if j == k and holds(a, f, t))
+    semi = sorted((r.at, r.k) for r in interval_join(rows, "at", spans.select("from_seq", "to_seq"), how="left_semi").collect())
+    assert semi == sorted((a, k) for a, k in at if any(holds(a, f, t) for f, t, _ in iv))
+
+
 def test_running_values(spark):
     df = spark.range(50).select(F.col("id").alias("seq"), F.when(F.col("id") % 13 == 5, F.col("id")).alias("v"))
-    got = [r.v for r in running_last(df, "seq", ["v"], block=7).orderBy("seq").collect()]
+    got = [r.v for r in running_last(df, "seq", ["v"], blocks=7).orderBy("seq").collect()]
     assert got == [None if i < 5 else (i - 5) // 13 * 13 + 5 for i in range(50)]
     total = running_total(df.withColumn("k", F.col("seq") % 2), ["k"], "seq", "seq", slot_us=5)
     assert [r.running for r in total.orderBy("seq").collect()] == [i // 2 + 1 for i in range(50)]
@@ -190,9 +207,7 @@ REPLAY = [
 ]
 
 
-@pytest.mark.parametrize("plan_policies", [256, 1])
-def test_replay(spark, monkeypatch, plan_policies):
-    monkeypatch.setattr(replay_plan, "PLAN_POLICIES", plan_policies)
+def test_replay(spark):
     df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), v) for i, v in enumerate(REPLAY)],
                                "seq long, ts timestamp, value string")
     out = replay(tool_calls(parse_calls(df)))

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from textsluice.operators.limiter import active_users, admit, rate_limit
+from textsluice.operators.limiter import _cut_hot_users, active_users, admit, rate_limit
 
 S = 1_000_000
 
@@ -86,6 +86,17 @@ def test_hot_user_in_chunks(spark, span, caps):
     assert run(spark, rows, hot_rows=150, lookahead=2 if span == 3_000 else 64) == want
 
 
+def test_burst_in_one_instant_is_cut_by_rows(spark):
+    """No chunk is larger than asked for, and odd limits and times are defined."""
+    rows = [(i, 5 * S, "u", 3) for i in range(1_000)] + [(1_000, 90 * S, "u", 3)]
+    assert run(spark, rows, hot_rows=100) == simulate(rows)
+    df = spark.createDataFrame(rows, "_seq long, _us long, _user string, _cap long").withColumn("_chunk", F.lit(0).cast("long"))
+    sizes = [r["count"] for r in _cut_hot_users(df, 1_001, 100).groupBy("_user", "_chunk").count().collect()]
+    assert max(sizes) <= 100 and sum(sizes) == 1_001
+    odd = spark.createDataFrame([(0, None, "v", 0), (1, None, "v", None), (2, 5, "v", -1)], "seq long, us long, user_id string, cap long")
+    assert [r.limited for r in rate_limit(odd, max_requests=F.col("cap"), ts="us").collect()] == [False] * 3
+
+
 def test_batches_of_one_row(spark):
     rows = _traffic(3, 400, 10, 3_000, [2])
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .matching import case_folded, computed_once, hit_mask, replace_in_turn
+from .matching import TOKEN, case_folded, computed_once, hit_mask, replace_in_turn
 from .rules import BYTES_PER_TOKEN, INPUT_RULES, MAX_TOKENS, SANITIZE_RULES, Rule
 
 PII_BITS = sum(1 << i for i, r in enumerate(INPUT_RULES) if r.category == "PII")
@@ -75,21 +75,26 @@ def sanitize(text: Column, mask: Column | None = None) -> Column:
     return replaced if mask is None else F.when(has_bits(mask, PII_BITS), replaced).otherwise(text)
 
 
-def screen(df: DataFrame, text: str = "text", max_tokens=MAX_TOKENS) -> DataFrame:
+def screen(df: DataFrame, text: str = "text", max_tokens=MAX_TOKENS, rules: tuple[Rule, ...] = INPUT_RULES) -> DataFrame:
     """Adds ``n_bytes``, ``input_mask``, ``n_violations`` and ``valid``."""
     return (
-        computed_once(df, "input_mask", input_mask(F.col(text)))
+        computed_once(df, "input_mask", input_mask(F.col(text), rules))
         .withColumn("n_bytes", byte_length(F.col(text)))
         .withColumn("n_violations", violation_count(F.col("input_mask"), F.col("n_bytes"), max_tokens))
         .withColumn("valid", is_valid(F.col("input_mask"), F.col("n_bytes"), max_tokens))
     )
 
 
-def validate(df: DataFrame, text: str = "text", max_tokens=MAX_TOKENS) -> DataFrame:
-    """Adds ``validation``: struct of valid, sanitized and violations."""
+def validate(df: DataFrame, text: str = "text", max_tokens=MAX_TOKENS, rules: tuple[Rule, ...] = INPUT_RULES,
+             personal: tuple[Rule, ...] = SANITIZE_RULES, token: str = TOKEN) -> DataFrame:
+    """Adds ``validation``: struct of valid, sanitized and violations.  Own
+    *rules* (63 at most) decide validity, *personal* ones are replaced by
+    *token*, in which ``{}`` is the category."""
     mask, size = F.col("input_mask"), F.col("n_bytes")
-    return screen(df, text, max_tokens).withColumn("validation", F.struct(
+    fixed = rules == INPUT_RULES and personal == SANITIZE_RULES and token == TOKEN
+    clean = sanitize(F.col(text), mask) if fixed else replace_in_turn(personal, F.col(text), token)
+    return screen(df, text, max_tokens, rules).withColumn("validation", F.struct(
         F.col("valid").alias("valid"),
-        sanitize(F.col(text), mask).alias("sanitized"),
-        violations(mask, size, max_tokens).alias("violations"),
+        clean.alias("sanitized"),
+        violations(mask, size, max_tokens, rules).alias("violations"),
     ))

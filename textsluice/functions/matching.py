@@ -43,12 +43,16 @@ def hit_mask(rules, text: Column, folded: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits) if bits else F.lit(0).cast("long")
 
 
-def replace_in_turn(rules, text: Column) -> Column:
+#: What a match becomes; the braces stand for the rule's category.
+TOKEN = "[REDACTED_{}]"
+
+
+def replace_in_turn(rules, text: Column, token: str = TOKEN) -> Column:
     """Every rule's matches replaced by its token, each rule working on the
     result of the one before."""
     for rule in rules:
-        text = F.regexp_replace(text, F.lit(to_java(rule.pattern, rule.starts)),
-                                F.lit(f"[REDACTED_{rule.category}]"))
+        plain = token.replace("{}", rule.category).replace("\\", "\\\\").replace("$", "\\$")
+        text = F.regexp_replace(text, F.lit(to_java(rule.pattern, rule.starts)), F.lit(plain))
     return text
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .dialect import to_java
-from .matching import case_folded, computed_once, may_hit, replace_in_turn
+from .matching import TOKEN, case_folded, computed_once, may_hit, replace_in_turn
 from .rules import OUTPUT_PII_RULES, SECRET_RULES, Rule
 
 REDACTION = "struct<category:string,original_length:int>"
@@ -35,13 +35,13 @@ def found_in(rules: Sequence[Rule], text: Column, folded: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", *, enabled: bool = True,
            secrets: Sequence[Rule] = SECRET_RULES,
-           personal: Sequence[Rule] = OUTPUT_PII_RULES) -> DataFrame:
+           personal: Sequence[Rule] = OUTPUT_PII_RULES, token: str = TOKEN) -> DataFrame:
     """Adds ``redacted`` (the new text), ``redactions`` and ``modified``.
 
     Secrets are listed from the original text and personal data from the text
     left by the secret pass; overlapping rules may list one span twice.  A pass
     that lists nothing changes nothing, so replacements run only on texts with
-    hits.  With ``enabled=False`` the text is passed through, unlisted.
+    hits.  *token* is what a match becomes, ``{}`` in it the category.  With ``enabled=False`` the text is passed through, unlisted.
     """
     if not enabled:
         return (df.withColumn("redacted", F.col(text))
@@ -50,10 +50,10 @@ def redact(df: DataFrame, text: str = "text", *, enabled: bool = True,
     original, left = F.col(text), F.col("_left")
     df = df.withColumn("_folded", case_folded(original))
     df = computed_once(df, "_secrets", found_in(secrets, original, F.col("_folded")))
-    df = computed_once(df, "_left", F.when(F.size("_secrets") > 0, replace_in_turn(secrets, original)).otherwise(original))
+    df = computed_once(df, "_left", F.when(F.size("_secrets") > 0, replace_in_turn(secrets, original, token)).otherwise(original))
     df = computed_once(df, "_personal", found_in(personal, left, case_folded(left)))
     return (
-        df.withColumn("redacted", F.when(F.size("_personal") > 0, replace_in_turn(personal, left)).otherwise(left))
+        df.withColumn("redacted", F.when(F.size("_personal") > 0, replace_in_turn(personal, left, token)).otherwise(left))
         .withColumn("redactions", F.concat("_secrets", "_personal"))
         .withColumn("modified", F.size("redactions") > 0)
         .drop("_folded", "_secrets", "_left", "_personal")

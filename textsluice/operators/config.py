@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.rules import MAX_REQUESTS, MAX_TOKENS
-from .intervals import running_last
+from .intervals import BLOCKS, in_blocks, running_last
 
 
 @dataclass(frozen=True)
@@ -41,13 +41,13 @@ def _valid(name: str) -> Column:
 
 
 def config_history(patches: DataFrame, *, seq: str = "seq", defaults: Config = Config(),
-                   block: int = 1_000_000) -> DataFrame:
+                   blocks: int = BLOCKS) -> DataFrame:
     """Patches (nullable setting columns, unique *seq*) to the settings in
     force after each of them."""
     clean = patches.select(seq, *[
         (_valid(f) if f in patches.columns else F.lit(None).cast("boolean" if f in SWITCHES else "long")).alias(f)
         for f in FIELDS])
-    filled = running_last(clean, seq, FIELDS, block=block)
+    filled = running_last(clean, seq, FIELDS, blocks=blocks)
     return filled.select(seq, *[F.coalesce(F.col(f), F.lit(getattr(defaults, f))).alias(f) for f in FIELDS])
 
 
@@ -62,11 +62,11 @@ def config_intervals(history: DataFrame, *, seq: str = "seq", defaults: Config =
 
 
 def next_start(df: DataFrame, start: str = "from_seq", stop: str = "to_seq", *, keys: tuple[str, ...] = (),
-               block: int = 1_000_000) -> DataFrame:
+               blocks: int = BLOCKS) -> DataFrame:
     """Adds *stop*: the next row's *start* among rows of the same *keys*, or
     null on the last one.  Found per block of the axis, and for a block's last
     row from the blocks after it, so one key may hold most of the rows."""
-    blocked = df.withColumn("_block", F.expr(f"{start} div {int(block)}"))
+    blocked = in_blocks(df, start, blocks)
     firsts = blocked.groupBy(*keys, "_block").agg(F.min(start).alias("_first"))
     after = W.partitionBy(*keys).orderBy("_block") if keys else W.orderBy("_block")
     following = firsts.select(*keys, "_block", F.lead("_first").over(after).alias("_next"))

@@ -3,20 +3,49 @@ whole-table windows."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+#: Blocks that an ordered axis is cut into; also the rows of the only
+#: whole-table window, which carries values from block to block.
+BLOCKS = 200
+
+
+def in_blocks(df: DataFrame, order: str, blocks: int = BLOCKS) -> DataFrame:
+    """Adds ``_block``: which of about *blocks* stretches of equally many rows,
+    numbered along *order*, the row is in.  The cuts are approximate quantiles,
+    so sparse and clustered orders give even blocks; equal values share one."""
+    shares = ", ".join(f"{k / blocks}D" for k in range(1, blocks))
+    cuts = df.select(F.expr(f"percentile_approx(`{order}`, array({shares}), {10 * blocks})")).first()[0] if shares else None
+    splits = sorted({float(c) for c in cuts or []})
+    if not splits:
+        return df.withColumn("_block", F.lit(0.0))
+    return Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=order, outputCol="_block", handleInvalid="keep").transform(df)
+
+
 def interval_join(df: DataFrame, at: str, intervals: DataFrame, *, start: str = "from_seq",
-                  stop: str = "to_seq", how: str = "left") -> DataFrame:
+                  stop: str = "to_seq", how: str = "left", on: Sequence[str] = ()) -> DataFrame:
     """Rows of *df* with the intervals that hold ``start <= at < stop`` (a null
-    bound is open).  *how*: left, inner, left_semi or left_anti.
+    bound is open) and agree in the columns *on*.  *how*: inner, left_semi, or
+    for intervals that do not overlap also left and left_anti.
 
-    The axis is binned so that this is an equi-join on the bin with the exact
-    bounds as a residual: Spark broadcasts the intervals if they are small and
-    otherwise shuffles by bin, splitting hot bins at run time.  Bins hold about
-    one interval start each, and rows outside the covered range share the edge
-    bins, so nothing about *df* needs to be known.
+    An equi-join with the exact bounds as a residual; Spark broadcasts small
+    intervals and otherwise shuffles by bin, splitting hot bins at run time.
+    Inner and semi joins bin by size: an interval lies in at most two bins of
+    the least width (a power of two) that is as long as it is, and a row looks
+    once at each width in use, of which there are at most 64.  So long or
+    overlapping intervals do not multiply, and clustered ones have narrow bins.
+    Pass narrow rows, as they are copied per width.  Left and anti joins bin
+    equally wide, about one start each; a row is never copied there.
     """
+    if how == "inner":
+        return _by_size(df, at, intervals, start, stop, on)
+    if how == "left_semi" and not on:
+        return _by_size(df, at, disjoint(intervals, start, stop), start, stop, ()).select(*df.columns)
     edge = intervals.agg(F.min(start).alias("lo"), F.max(start).alias("hi"),
                          F.count("*").alias("n")).first()
     lo, hi = int(edge["lo"] or 0), int(edge["hi"] or 0)
@@ -28,30 +57,70 @@ def interval_join(df: DataFrame, at: str, intervals: DataFrame, *, start: str =
 
     first = bin_of(F.coalesce(F.col(start), F.lit(lo)))
     last = bin_of(F.coalesce(F.col(stop) - 1, F.lit(hi)))
-    held = F.col(stop).isNull() | F.col(start).isNull() | (F.col(stop) > F.col(start))
     left = df.withColumn("_bin", bin_of(F.col(at))).alias("l")
-    right = intervals.where(held).withColumn("_bin", F.explode(F.sequence(first, last))).alias("r")
-    where = (
-        (F.col("l._bin") == F.col("r._bin"))
-        & (F.col(f"r.{start}").isNull() | (F.col(f"l.{at}") >= F.col(f"r.{start}")))
-        & (F.col(f"r.{stop}").isNull() | (F.col(f"l.{at}") < F.col(f"r.{stop}")))
-    )
-    joined = left.join(right, where, how)
+    right = intervals.where(_held(start, stop)).withColumn("_bin", F.explode(F.sequence(first, last))).alias("r")
+    joined = left.join(right, _meets(at, start, stop, ["_bin", *on]), how)
     if how in ("left_semi", "left_anti"):
         return joined.drop("_bin")
-    extra = [F.col(f"r.{c}") for c in intervals.columns if c not in (start, stop)]
+    extra = [F.col(f"r.{c}") for c in intervals.columns if c not in (start, stop, *on)]
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], *extra)
 
 
-def running_last(df: DataFrame, order: str, columns: list[str], *, block: int = 1_000_000) -> DataFrame:
+def _held(start: str, stop: str) -> Column:
+    return F.col(stop).isNull() | F.col(start).isNull() | (F.col(stop) > F.col(start))
+
+
+def _meets(at: str, start: str, stop: str, equal: Sequence[str]) -> Column:
+    bounds = ((F.col(f"r.{start}").isNull() | (F.col(f"l.{at}") >= F.col(f"r.{start}")))
+              & (F.col(f"r.{stop}").isNull() | (F.col(f"l.{at}") < F.col(f"r.{stop}"))))
+    for c in equal:
+        bounds = (F.col(f"l.{c}") == F.col(f"r.{c}")) & bounds
+    return bounds
+
+
+def _by_size(df: DataFrame, at: str, intervals: DataFrame, start: str, stop: str, on: Sequence[str]) -> DataFrame:
+    intervals = intervals.where(_held(start, stop))
+    edge = intervals.agg(F.least(F.min(start), F.min(stop)).alias("lo"), F.greatest(F.max(start), F.max(stop)).alias("hi")).first()
+    lo, hi = int(edge["lo"] or 0), int(edge["hi"] or 0)
+    sized = (intervals.withColumn("_first", F.coalesce(F.col(start), F.lit(lo)) - lo)
+             .withColumn("_last", F.coalesce(F.col(stop) - 1, F.lit(hi)) - lo)
+             .withColumn("_level", F.when(F.col("_last") <= F.col("_first"), 0)
+                         .otherwise(F.length(F.bin(F.col("_last") - F.col("_first")))).cast("int")))
+    levels = sorted(r[0] for r in sized.select("_level").distinct().collect())      # at most 64
+    right = (sized.withColumn("_bin", F.explode(F.expr("sequence(shiftright(_first, _level), shiftright(_last, _level))")))
+             .drop("_first", "_last").alias("r"))
+    inside = F.least(F.greatest(F.col(at).cast("long"), F.lit(lo)), F.lit(hi)).cast("long") - lo
+    looks = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col("_inside"), k).alias("bin")) for k in levels or [0]])
+    left = (df.withColumn("_inside", inside).withColumn("_look", F.explode(looks))
+            .select(*df.columns, F.col("_look.level").alias("_level"), F.col("_look.bin").alias("_bin")).alias("l"))
+    extra = [F.col(f"r.{c}") for c in intervals.columns if c not in (start, stop, *on)]
+    return (left.join(right, _meets(at, start, stop, ["_level", "_bin", *on]))
+            .select(*[F.col(f"l.{c}") for c in df.columns], *extra))
+
+
+def disjoint(intervals: DataFrame, start: str, stop: str) -> DataFrame:
+    """Intervals (start, stop) that do not overlap and cover the same points:
+    each is cut where an earlier one reaches into it."""
+    least, most = F.lit(-2**62), F.lit(2**62)
+    filled = intervals.select(F.coalesce(F.col(start).cast("long"), least).alias(start), F.coalesce(F.col(stop).cast("long"), most).alias(stop))
+    blocked = in_blocks(filled, start)
+    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocked.groupBy("_block").agg(F.max(stop).alias("_reach")).select("_block", F.max("_reach").over(before).alias("_carried"))
+    inside = W.partitionBy("_block").orderBy(start).rowsBetween(W.unboundedPreceding, -1)
+    cut = (blocked.withColumn("_inside", F.max(stop).over(inside)).join(carried, "_block")
+           .withColumn(start, F.greatest(start, "_inside", "_carried")).where(F.col(start) < F.col(stop)))
+    return cut.select(F.when(F.col(start) > least, F.col(start)).alias(start), F.when(F.col(stop) < most, F.col(stop)).alias(stop))
+
+
+def running_last(df: DataFrame, order: str, columns: list[str], *, blocks: int = BLOCKS) -> DataFrame:
     """Replaces each of *columns* by its last non-null value up to and
     including the row, in order of the unique column *order*.
 
     Two steps, so no task sees the whole table: values carry inside blocks of
-    the order column, and the last values of the blocks (one row each) carry
+    equally many rows, and the last values of the blocks (one row each) carry
     from block to block.
     """
-    blocked = df.withColumn("_block", F.expr(f"{order} div {int(block)}"))
+    blocked = in_blocks(df, order, blocks)
     ends = blocked.groupBy("_block").agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
     before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

@@ -10,8 +10,8 @@ How it is spread over a cluster
     Arrow batches; a task keeps at most the live stamps of one user.
 
 Hot users
-    A user with more than ``hot_rows`` rows is cut into chunks along time, each
-    its own shuffle key.  A chunk needs the stamps alive when it starts.  First
+    A user with more than ``hot_rows`` rows is cut into chunks of at most that
+    many rows along time, each its own shuffle key.  A chunk needs the stamps alive when it starts.  First
     all chunks run as if none were; then every chunk whose entering stamps turn
     out different is run again, until nothing changes, which is the sequential
     result.  Where the user is below the limit for one window somewhere in each
@@ -37,8 +37,6 @@ from ..session import ensure_checkpoint_dir
 
 HOT_ROWS = 20_000_000
 LOOKAHEAD = 64
-SLICES_PER_CHUNK = 64
-BROADCAST_ROWS = 200_000
 _NO_CAP = 2**62
 _KEYS = ("_user", "_chunk", "_us", "_seq", "_cap", "_seed")
 
@@ -180,30 +178,18 @@ def _seed_rows(entering: DataFrame) -> DataFrame:
         F.lit(_NO_CAP).cast("long").alias("_cap"), F.lit(True).alias("_seed"))
 
 
-def _cut_hot_users(keyed: DataFrame, hot: list, hot_rows: int) -> DataFrame:
-    """Sets ``_chunk`` of the hot users' rows: runs of time slices of about
-    ``hot_rows`` rows together, numbered from 0 in time order."""
-    spark = keyed.sparkSession
-    cuts = []
-    for r in hot:
-        slices = SLICES_PER_CHUNK * -(-r["n"] // hot_rows)
-        cuts.append((r["_user"], r["first_us"], max(1, (r["last_us"] - r["first_us"]) // slices + 1)))
-    cut = spark.createDataFrame(cuts, "_user string, _from long, _step long")
-    # one row per hot user, so at most rows / hot_rows of them
-    cut = F.broadcast(cut) if len(cuts) <= BROADCAST_ROWS else cut
-    sliced = (keyed.drop("_chunk").join(cut, "_user", "left")
-              .withColumn("_slice", F.expr("(_us - _from) div _step")).drop("_from", "_step"))
-    so_far = W.partitionBy("_user").orderBy("_slice")
-    chunk_of = (
-        sliced.where(F.col("_slice").isNotNull()).groupBy("_user", "_slice").count()
-        .withColumn("_full", F.floor((F.sum("count").over(so_far) - F.col("count")) / hot_rows))
-        .withColumn("_chunk", (F.dense_rank().over(W.partitionBy("_user").orderBy("_full")) - 1).cast("long"))
-        .select("_user", "_slice", "_chunk")
-    )
-    bound = sum(SLICES_PER_CHUNK * (-(-r["n"] // hot_rows)) + 1 for r in hot)
-    chunk_of = F.broadcast(chunk_of) if bound <= BROADCAST_ROWS else chunk_of
-    return (sliced.join(chunk_of, ["_user", "_slice"], "left").drop("_slice")
-            .withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("long"))))
+def _cut_hot_users(rows: DataFrame, n: int, hot_rows: int) -> DataFrame:
+    """The *n* rows of the hot users with ``_chunk``, numbered from 0 per user in
+    order of time and seq.  Chunks are cut by rows, so a burst in one instant is
+    split too and no chunk holds more than *hot_rows*."""
+    place = F.monotonically_increasing_id()       # partition << 33 plus place in it
+    dealt = (rows.drop("_chunk").repartitionByRange(2 * -(-n // hot_rows), "_user", "_us", "_seq")
+             .sortWithinPartitions("_user", "_us", "_seq").withColumn("_place", place)
+             .withColumn("_piece", F.expr(f"struct(shiftright(_place, 33) AS part, (_place & {2**33 - 1}) div {hot_rows} AS at)"))
+             .drop("_place").checkpoint())
+    numbers = dealt.select("_user", "_piece").distinct().withColumn(
+        "_chunk", (F.row_number().over(W.partitionBy("_user").orderBy("_piece")) - 1).cast("long"))
+    return dealt.join(numbers, ["_user", "_piece"]).drop("_piece")
 
 
 def _entering_stamps(rows: DataFrame, window: int, lookahead: int, carried: DataFrame | None) -> DataFrame:
@@ -211,7 +197,6 @@ def _entering_stamps(rows: DataFrame, window: int, lookahead: int, carried: Data
     users, by repeating chunks until their entering stamps stand still.
     *carried* are the stamps their first chunks start from."""
     leave_schema = "_user string, _chunk long, stamps array<bigint>"
-    rows = rows.checkpoint()
     chunks = rows.select("_user", "_chunk").distinct()
 
     def leaving(part: DataFrame, seeds: DataFrame | None, turn: int) -> DataFrame:
@@ -268,7 +253,8 @@ def rate_limit(df: DataFrame, *, max_requests: int | Column = MAX_REQUESTS,
 
     Requests are taken in the order of (*ts*, *seq*) per user; a null user is
     ``anonymous``.  *max_requests* may be a column, for limits that change over
-    time.  Pass narrow rows: every column of *df* goes through the shuffle.
+    time; a row whose limit is null or below 1 has the default limit, and a null
+    time counts as the epoch.  Pass narrow rows: every column of *df* goes through the shuffle.
     With *tenant* each (tenant, user) pair has its own quota.  *carried*
     (quota_key, us) holds stamps admitted before these rows.
     """
@@ -277,24 +263,22 @@ def rate_limit(df: DataFrame, *, max_requests: int | Column = MAX_REQUESTS,
             raise ValueError("max_requests must be at least 1")
         max_requests = F.lit(max_requests)
     names = df.columns
+    cap = max_requests.cast("long")
     keyed = (
-        df.withColumn("_user", quota_key(user, tenant)).withColumn("_us", order_micros(df, ts))
-        .withColumn("_seq", F.col(seq).cast("long")).withColumn("_cap", max_requests.cast("long"))
+        df.withColumn("_user", quota_key(user, tenant)).withColumn("_us", F.coalesce(order_micros(df, ts), F.lit(0)))
+        .withColumn("_seq", F.col(seq).cast("long")).withColumn("_cap", F.when(cap >= 1, cap).otherwise(F.lit(MAX_REQUESTS)))
         .withColumn("_chunk", F.lit(0).cast("long"))
     )
     # at most rows / hot_rows users come back
-    hot = (keyed.groupBy("_user")
-           .agg(F.count("*").alias("n"), F.min("_us").alias("first_us"), F.max("_us").alias("last_us"))
-           .where(F.col("n") > hot_rows).collect())
+    hot = keyed.groupBy("_user").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).collect()
     seeds = None if carried is None else _seed_rows(carried.select(
         F.col("quota_key").alias("_user"), F.lit(0).cast("long").alias("_chunk"), F.array("us").alias("stamps")))
     if hot:
         ensure_checkpoint_dir(df.sparkSession)
-        keyed = _cut_hot_users(keyed, hot, hot_rows)
         is_hot = keyed.sparkSession.createDataFrame([(r["_user"],) for r in hot], "_user string")
-        is_hot = F.broadcast(is_hot) if len(hot) <= BROADCAST_ROWS else is_hot
-        narrow = keyed.select("_user", "_chunk", "_us", "_seq", "_cap").join(is_hot, "_user", "left_semi")
-        later = _seed_rows(_entering_stamps(narrow, window_us, lookahead, seeds))
+        cut = _cut_hot_users(keyed.join(is_hot, "_user", "left_semi"), sum(r["n"] for r in hot), hot_rows)
+        later = _seed_rows(_entering_stamps(cut.select("_user", "_chunk", "_us", "_seq", "_cap"), window_us, lookahead, seeds))
+        keyed = keyed.join(is_hot, "_user", "left_anti").unionByName(cut)
         seeds = later if seeds is None else seeds.unionByName(later)
     rows = keyed.withColumn("_seed", F.lit(False))
     if seeds is not None:

@@ -15,7 +15,6 @@ from .config import next_start
 from .intervals import interval_join
 
 SCHEMA = "ord long, name string, pattern string, action string, description string"
-PLAN_POLICIES = 256
 
 
 def policy(name: str, pattern: str, action: str = "block", description: str = "") -> Policy:
@@ -96,19 +95,22 @@ def policy_sets(versions: DataFrame) -> DataFrame:
     points = versions.select("from_seq").union(
         versions.where(F.col("to_seq").isNotNull()).select("to_seq")).distinct().withColumnRenamed("from_seq", "at")
     fields = [c for c in versions.columns if c not in ("from_seq", "to_seq")]
-    held = interval_join(points, "at", versions.withColumn("version", F.col("from_seq")))
-    grouped = held.groupBy(F.col("at").alias("from_seq")).agg(F.sort_array(F.collect_list(
-        F.when(F.col("version").isNotNull(), F.struct("version", *fields)))).alias("policies"))
-    return next_start(grouped)
+    held = interval_join(points, "at", versions.withColumn("version", F.col("from_seq")), how="inner")
+    grouped = held.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("version", *fields))).alias("policies"))
+    grouped = grouped.checkpoint()      # few and narrow; the next start is found from it twice
+    return next_start(points.join(grouped, "at", "left").withColumnRenamed("at", "from_seq"))
 
 
 def load_policies(table: DataFrame) -> list[Policy]:
-    """The table's policies in order, to be written into the plan.  Larger
-    tables than a plan should hold go through :func:`policy_hits_from_table`."""
-    rows = table.orderBy("ord").limit(PLAN_POLICIES + 1).collect()
-    if len(rows) > PLAN_POLICIES:
-        raise ValueError(f"more than {PLAN_POLICIES} policies; use policy_hits_from_table")
-    return [policy(r["name"], r["pattern"], r["action"], r["description"]) for r in rows]
+    """The table's policies in order, to be written into the plan."""
+    return [policy(r["name"], r["pattern"], r["action"], r["description"]) for r in table.orderBy("ord").collect()]
+
+
+def as_literals(table: DataFrame) -> list[Policy]:
+    """Every distinct valid pattern of a rule table as a policy of that name.
+    Rules are control data, read by the driver however many texts there are."""
+    valid = table.select("pattern").distinct().where(java_pattern("pattern").isNotNull())
+    return [Policy(p, p, "block", "", POLICY_NEEDS.get(p, ())) for p in sorted(r["pattern"] for r in valid.collect())]
 
 
 def policy_hits(df: DataFrame, *ids: str, text: str = "text", policies: Sequence[Policy] = POLICIES,
@@ -120,47 +122,29 @@ def policy_hits(df: DataFrame, *ids: str, text: str = "text", policies: Sequence
     return rows.select(*ids, "position", "p.policy", "p.action", "p.description")
 
 
-def policy_hits_from_table(df: DataFrame, table: DataFrame, *ids: str, text: str = "text",
-                           part_rules: int = 500, broadcast_rules: int = 100_000,
-                           salts: int = 256) -> DataFrame:
+def pattern_hits(df: DataFrame, table: DataFrame, *ids: str, text: str = "text") -> DataFrame:
+    """(ids, pattern) for every distinct pattern of *table* that a text holds.
+    Patterns are literals, compiled once and run once per text where it is read."""
+    return policy_hits(df, *ids, text=text, policies=as_literals(table)).select(*ids, F.col("policy").alias("pattern"))
+
+
+def policy_hits_from_table(df: DataFrame, table: DataFrame, *ids: str, text: str = "text") -> DataFrame:
     """The same hits (ids, policy, action, description) with the policies kept
-    as data, for tables of any size.
-
-    The policies are packed into parts of about ``part_rules``, one row each,
-    and texts meet the parts by an equi-join on the part number; the regex runs
-    in the projection above it and only hit rows go on.  Parts are broadcast
-    while the policy table is at most ``broadcast_rules`` rows; beyond that
-    both sides are salted, so no part gathers all texts in one task.
-    """
-    numbered = (
-        table.withColumn("java", java_pattern("pattern")).where(F.col("java").isNotNull())
-        .withColumn("_hash", F.xxhash64("name"))
-    )
-    rules = numbered.count()
-    total = max(1, -(-rules // part_rules))
-    parts = (
-        numbered.groupBy(F.pmod("_hash", F.lit(total)).cast("int").alias("_part"))
-        .agg(F.collect_list(F.struct("name", "java", "action", "description")).alias("_rules"))
-    )
-    texts = df.select(*ids, F.col(text).alias("_text")).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
-    if rules <= broadcast_rules:
-        met = texts.join(F.broadcast(parts), "_part")
-    else:
-        spread = parts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = texts.withColumn("_salt", F.pmod(F.xxhash64("_text", *ids), F.lit(salts)).cast("int")).join(
-            spread, ["_part", "_salt"])
-    fired = F.filter("_rules", lambda r: F.rlike(F.col("_text"), r["java"]))
-    return exploded(met, [*ids], fired, "r").select(
-        *ids, F.col("r.name").alias("policy"), "r.action", "r.description")
+    as data: what joins the table, by pattern, is hits and not texts."""
+    rules = table.select("pattern", F.col("name").alias("policy"), "action", "description")
+    return pattern_hits(df, table, *ids, text=text).join(rules, "pattern").select(*ids, "policy", "action", "description")
 
 
 def version_hits(df: DataFrame, versions: DataFrame, *ids: str, seq: str = "seq", text: str = "text",
                  names: str | None = None) -> DataFrame:
     """Hits of policy versions in force at each row's *seq*, the versions kept
-    as data: (ids, from_seq, policy, action, description)."""
-    held = interval_join(df, seq, versions.withColumn("version", F.col("from_seq")), how="inner")
-    if names is not None:
-        held = held.where(F.col(names).isNull() | F.expr(f"array_contains({names}, name)"))
-    return held.where(F.rlike(F.col(text), F.col("java"))).select(
-        *ids, F.col("version").alias("from_seq"), F.col("name").alias("policy"), "action", "description")
+    as data: (ids, from_seq, policy, action, description).  Patterns meet the
+    texts once each, and only hits meet the versions."""
+    rows = df.withColumn("_seq_of", F.col(seq)).withColumn("_names", F.lit(None).cast("array<string>") if names is None else F.col(names))
+    hits = pattern_hits(rows, versions, *ids, "_seq_of", "_names", text=text)
+    kept = versions.select("from_seq", "to_seq", F.col("from_seq").alias("_version"), "pattern", F.col("name").alias("_policy"),
+                           F.col("action").alias("_action"), F.col("description").alias("_description"))
+    held = interval_join(hits, "_seq_of", kept, how="inner", on=("pattern",))
+    return held.where(F.col("_names").isNull() | F.array_contains("_names", F.col("_policy"))).select(
+        *ids, F.col("_version").alias("from_seq"), F.col("_policy").alias("policy"), F.col("_action").alias("action"),
+        F.col("_description").alias("description"))

@@ -496,11 +496,19 @@ D = {
         (n_chars > 3000)::BIGINT + (doc_id % 2 = 1)::BIGINT AS n_violations, (lang <> 'en')::BIGINT AS n_warnings FROM documents""",
 }
 
+_OWN = "t"
+for _r in c.OWN_RULES:
+    _OWN = f"regexp_replace({_OWN}, {literal(_r.pattern)}, {literal(c.OWN_TOKEN.replace('{}', _r.category))}, 'g')"
+_N_OWN = _count([_hit("t", r) for r in c.OWN_RULES])
+D["d_custom_rules"] = f"""WITH {PLANTED} SELECT doc_id, ({_N_OWN}) = 0 AND NOT {_LONG} AS valid, {_OWN} AS sanitized,
+    {_N_OWN} + ({_LONG})::BIGINT AS n_violations FROM planted"""
+D["d_rotation"] = f"{AUDIT} {_EVENTS} WHERE us >= epoch_us(TIMESTAMP '{c.ROTATE_BEFORE}')"
+
 _PATTERNS = [*c.CHANGE_PATTERNS, *(p.pattern for p in POLICIES)]
 _FOUND = " UNION ALL ".join(f"SELECT seq, {literal(p)} AS pattern FROM req WHERE regexp_matches(text, {literal(p)})"
                             for p in _PATTERNS if p not in _BAD)
 P["p_version_hits"] = f"""
-    WITH {REQUESTS}, {CHANGES}, steps AS (
+    WITH {REQUESTS}, {CHANGES.replace("'p' || user_id", "'p' || (event_id % 7)")}, steps AS (
         SELECT seq AS since, lead(seq) OVER (PARTITION BY name ORDER BY seq) AS until, name, op, pattern, action
         FROM (SELECT * FROM defaults UNION ALL SELECT * FROM effect)),
     found AS ({_FOUND})

@@ -8,50 +8,37 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import detect, policy as pol
 from ..functions.redact import redact
-from ..functions.rules import POLICIES, POLICY_NEEDS, WINDOW_US, Policy
+from ..functions.rules import POLICIES, WINDOW_US, Policy
 from ..operators import audit
 from ..operators.config import FIELDS, LIMITS, SWITCHES, Config, config_history, config_intervals
 from ..operators.gate import VERDICT, verdict_columns, settings_of
 from ..operators.intervals import interval_join
 from ..operators.limiter import HOT_ROWS, rate_limit
-from ..operators.policies import PLAN_POLICIES, policy_sets, policy_table, policy_versions
+from ..operators.policies import as_literals, policy_sets, policy_table, policy_versions
 from ..session import ensure_checkpoint_dir
 
 
-def _sets_in_force(versions: DataFrame) -> tuple[DataFrame, list[str] | None]:
-    """The policy sets by stretch of seq, and the distinct patterns if the plan
-    can hold them (then each policy carries its pattern's mask position)."""
-    patterns = versions.select("pattern").distinct().limit(PLAN_POLICIES + 1).collect()
-    if len(patterns) > PLAN_POLICIES:
-        return policy_sets(versions.drop("pattern")).checkpoint(), None
-    known = sorted(r["pattern"] for r in patterns)
-    numbers = F.create_map(*[x for i, p in enumerate(known) for x in (F.lit(p), F.lit(i))])
-    placed = (versions.withColumn("_n", numbers[F.col("pattern")])
-              .withColumn("_slice", F.expr(f"_n div {pol.SLICE} + 1").cast("int"))
-              .withColumn("_bit", F.expr(f"shiftleft(1L, _n % {pol.SLICE})")).drop("_n", "pattern", "java"))
-    return policy_sets(placed).checkpoint(), known
+def _sets_in_force(versions: DataFrame) -> tuple[DataFrame, list[Policy]]:
+    """The policy sets by stretch of seq, and the distinct patterns; each policy
+    carries the place of its pattern in the masks."""
+    known = as_literals(versions)
+    places = versions.sparkSession.createDataFrame(
+        [(p.pattern, i // pol.SLICE + 1, 1 << i % pol.SLICE) for i, p in enumerate(known)], "pattern string, _slice int, _bit long")
+    return policy_sets(versions.join(places, "pattern").drop("pattern", "java")).checkpoint(), known
 
 
-def _policy_hits(calls: DataFrame, sets: DataFrame, known: list[str] | None, *keep: str) -> DataFrame:
+def _policy_hits(calls: DataFrame, sets: DataFrame, known: list[Policy], *keep: str) -> DataFrame:
     """Adds ``block``, ``redact``, ``warn`` (hit counts) and ``hits`` (records
     in policy order) by the policies in force at each call.
 
-    Known patterns are literals of the plan and run once per text where it is
-    read; what joins the policy sets is a bit mask.  Without them the sets are
-    joined first and bring their own patterns.
+    Patterns are literals of the plan and run once per text where it is read;
+    what joins the policy sets is a bit mask.
     """
-    text, masks, names = F.col("text"), F.col("_masks"), F.col("_names")
-    calls = calls.withColumn("_names", F.col("policy_names"))
-    if known is not None:
-        literals = [Policy(p, p, "block", "", POLICY_NEEDS.get(p, ())) for p in known]
-        calls = calls.withColumn("_masks", pol.policy_masks(text, literals)).select(*keep, "_names", "_masks")
-
-    def fires(p: Column) -> Column:
-        if known is None:
-            return F.rlike(text, p["java"])
-        return F.element_at(masks, p["_slice"]).bitwiseAND(p["_bit"]) != 0
-
-    hit = F.filter("policies", lambda p: (names.isNull() | F.array_contains(names, p["name"])) & fires(p))
+    masks, names = F.col("_masks"), F.col("_names")
+    calls = calls.withColumn("_names", F.col("policy_names")).withColumn(
+        "_masks", pol.policy_masks(F.col("text"), known)).select(*keep, "_names", "_masks")
+    hit = F.filter("policies", lambda p: (names.isNull() | F.array_contains(names, p["name"]))
+                   & (F.element_at(masks, p["_slice"]).bitwiseAND(p["_bit"]) != 0))
     records = F.transform("_hit", lambda p: F.struct(
         p["name"].alias("policy"), p["action"].alias("action"), p["description"].alias("description")))
     return interval_join(calls, "seq", sets).withColumn("_hit", F.coalesce(hit, F.array())).select(
@@ -100,7 +87,8 @@ class Replay:
             requests.withColumn("n_bytes", detect.byte_length(F.col("text")))
             .withColumn("input_mask", detect.input_mask(F.col("text"))),
             *self._sets, "seq", "ts", "user_id", "n_bytes", "input_mask")
-        governed = interval_join(screened, "seq", self._spans)
+        # narrow rows, written once: counting hot users does not parse the log again
+        governed = interval_join(screened, "seq", self._spans).checkpoint()
         # with the limiter off a call is neither checked nor recorded: give it
         # a quota of its own
         quota = F.when(F.col("enable_rate_limiting"), F.concat(F.lit("u:"), "user_id")).otherwise(

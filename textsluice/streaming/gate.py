@@ -14,13 +14,13 @@ from .limiter import stream_rate_limit
 
 
 def stream_gate(requests: DataFrame, config: Config = Config(), policies: Sequence[Policy] = POLICIES, *,
-                window_us: int = WINDOW_US) -> DataFrame:
+                window_us: int = WINDOW_US, tenant: str | None = None) -> DataFrame:
     """Verdicts for a stream of requests (seq, ts, user_id, text): a stateless
     projection of the texts, then the stateful limiter on narrow rows."""
     screened = screen_requests(requests, config, policies).select(
-        "seq", "ts", "user_id", "n_bytes", "input_mask", "policy_masks")
+        "seq", "ts", "user_id", *([tenant] if tenant else []), "n_bytes", "input_mask", "policy_masks")
     if config.enable_rate_limiting:
-        limited = stream_rate_limit(screened, max_requests=config.max_requests_per_minute, window_us=window_us)
+        limited = stream_rate_limit(screened, max_requests=config.max_requests_per_minute, window_us=window_us, tenant=tenant)
     else:
         limited = screened.withColumn("limited", F.lit(False)).withColumn("retry_after", F.lit(None).cast("bigint"))
     return verdict_columns(limited, settings_of(config), policy_counts(policies)).select(*VERDICT)

@@ -15,7 +15,7 @@ _LIVE = T.StructType([T.StructField("live", T.ArrayType(T.LongType()))])
 
 def stream_rate_limit(stream: DataFrame, *, max_requests: int = MAX_REQUESTS, window_us: int = WINDOW_US,
                       user: str = "user_id", ts: str = "ts", seq: str = "seq",
-                      idle_ms: int | None = None) -> DataFrame:
+                      tenant: str | None = None, idle_ms: int | None = None) -> DataFrame:
     """Adds ``limited`` and ``retry_after`` to a stream of narrow rows.
 
     Arrival order is the order: micro-batches follow one another, and rows of a
@@ -60,7 +60,7 @@ def stream_rate_limit(stream: DataFrame, *, max_requests: int = MAX_REQUESTS, wi
         out.loc[~limited, "retry_after"] = pd.NA
         yield out
 
-    keyed = (stream.withColumn("_user", quota_key(user)).withColumn("_us", order_micros(stream, ts))
+    keyed = (stream.withColumn("_user", quota_key(user, tenant)).withColumn("_us", order_micros(stream, ts))
              .withColumn("_seq", F.col(seq).cast("long")))
     return keyed.groupBy("_user").applyInPandasWithState(
         step, schema, _LIVE, "append",
