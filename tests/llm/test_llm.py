@@ -11,12 +11,13 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from textsluice.llm import bpe, components, decontam, extract, packing, quality, shards, simhash, substrings, tokencount, topk, warc
+from textsluice.llm import bpe, common, components, decontam, extract, packing, quality, shards, simhash, substrings, tokencount, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, root long, tag string, key string"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +59,15 @@ def nothing(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_portions_keep_rows_whole_and_in_order():
+    texts = [b"a" * 10, None, b"b" * 95, b"", b"c" * 40, b"d" * 60, b"e", b"f" * 500]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["k", "text"])
+    parts = list(common.portions(batch, 1, 100))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2, 3], [4, 5], [6], [7]]
+    assert pa.Table.from_batches(parts).column(1).to_pylist() == texts
+    assert list(common.portions(batch.slice(0, 0), 1)) == []
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3)]

@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textsluice.session import ensure_checkpoint_dir
 
 #: Rows an Arrow batch of results holds at most, so that wide results stay small.
 OUT_ROWS = 50_000
+#: Bytes of text a task works on at a time; a longer text is taken alone.
+TEXT_BYTES = 1 << 22
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
@@ -42,6 +45,22 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def portions(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of whole rows whose texts in ``column`` have at most so
+    many bytes, or of one row, so that work arrays don't grow with the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def text_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, column: int) -> DataFrame:
+    """``mapInArrow`` of a function on the portions of batches by the texts in ``column``."""
+    return arrow_map(df, lambda batch: (out for part in portions(batch, column) for out in fn(part)), schema)
+
+
 def sliced(arrays: list, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``OUT_ROWS`` rows."""
     table = pa.RecordBatch.from_arrays([a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a) for a in arrays], names=names)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textsluice.llm.common import WordHashes, arrow_map, bitmap, bytes_of, in_bitmap, kept, mixed, sliced
+from textsluice.llm.common import WordHashes, arrow_map, bitmap, bytes_of, in_bitmap, kept, mixed, portions, sliced
 
 #: Words of an overlap; shorter items are compared whole.
 OVERLAP = 13
@@ -84,7 +84,7 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
 def _document_seeds(shared, shapes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hashes, every = shared.value, WordHashes(), _shapes()
-        for batch in batches:
+        for batch in (part for batch in batches for part in portions(batch, 1)):
             h, begins, counts = _hashed(batch.column(1).to_pylist(), hashes)
             ids = batch.column(0)
             for shape in shapes:

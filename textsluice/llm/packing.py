@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textsluice.llm.common import sliced
+from textsluice.llm.common import portions, sliced
 
 CAPACITY, END = 2048, 1
 #: Tokens packed together; bounds a task's memory and the padding, which is
@@ -82,7 +82,7 @@ def _packer(tokenizer: str, capacity: int, block_tokens: int, with_ids: bool):
             docs, ids, held = [], [], 0
             yield from sliced(columns, names)
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in portions(batch, 1)):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs.append(doc)
                 ids.append(bpe.ids(text) + end)

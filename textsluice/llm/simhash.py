@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textsluice.llm.common import arrow_map, bytes_of, kept, mixed, sliced
+from textsluice.llm.common import arrow_map, bytes_of, kept, mixed, sliced, text_map
 from textsluice.llm.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -50,7 +50,7 @@ def _fingerprints(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; a null or wordless text has fingerprint zero."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), bytes_of(text).alias("text"))
-    return arrow_map(rows, _fingerprints, "doc_id long, fp long")
+    return text_map(rows, _fingerprints, "doc_id long, fp long", 1)
 
 
 def _variants(buckets: int):
