@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textsluice.session import ensure_checkpoint_dir
 
@@ -16,6 +16,8 @@ from textsluice.session import ensure_checkpoint_dir
 OUT_ROWS = 50_000
 #: Bytes of text a task works on at a time; a longer text is taken alone.
 TEXT_BYTES = 1 << 22
+#: Bytes of an Arrow batch on its way to Python, where the session sets none.
+BATCH_BYTES = "4m"
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
@@ -37,12 +39,26 @@ def bytes_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
+def map_in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches limited by bytes, as 10,000 texts may have any
+    size.  A limit that the session already has stays."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches to ``BATCH_BYTES`` in a session that sets no limit."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, BATCH_BYTES)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` of a function on single batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from fn(batch)
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)
 
 
 def portions(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textsluice.llm.common import WordHashes, arrow_map, bitmap, bytes_of, in_bitmap, kept, mixed, portions, sliced
+from textsluice.llm.common import WordHashes, arrow_map, bitmap, bytes_of, in_bitmap, kept, map_in_arrow, mixed, portions, sliced
 
 #: Words of an overlap; shorter items are compared whole.
 OVERLAP = 13
@@ -118,7 +118,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shapes = [k for k, (span, _) in enumerate(_shapes()) if span in lengths]
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(items, "seed", MAP_BITS))
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text"))
-    found = rows.mapInArrow(_document_seeds(shared, shapes), "seed long, doc_id long, doc_words array<long>")
+    found = map_in_arrow(rows, _document_seeds(shared, shapes), "seed long, doc_id long, doc_words array<long>")
     equal = found.join(items, "seed").select("doc_id", "item_id", "words", F.zip_with(
         "doc_words", "item_words", lambda a, b: F.when((a == b) & (a != 0), 1).otherwise(0)).alias("eq"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)

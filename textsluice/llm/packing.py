@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textsluice.llm.common import portions, sliced
+from textsluice.llm.common import map_in_arrow, portions, sliced
 
 CAPACITY, END = 2048, 1
 #: Tokens packed together; bounds a task's memory and the padding, which is
@@ -105,4 +105,4 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, block_toke
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_packer(tokenizer, capacity, block_tokens, with_ids), schema + ", ids array<int>" * with_ids)
+    return map_in_arrow(rows, _packer(tokenizer, capacity, block_tokens, with_ids), schema + ", ids array<int>" * with_ids)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from textsluice.llm.common import arrow_map, bytes_of, kept, sliced
+from textsluice.llm.common import arrow_map, bytes_of, kept, sliced, small_batches
 
 THRESHOLD = 0.3
 #: Random features, width of the kernel in standard deviations, ridge penalty per row.
@@ -164,6 +164,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     threshold on) in place of columns of these names, each row where it is read.
     Null and empty texts are scored like others."""
     docs = docs.drop("score", "predicted")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
