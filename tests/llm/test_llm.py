@@ -178,6 +178,28 @@ def test_signatures_find_all_similar_paragraphs():
     assert len(substrings.linked(sets)) == 11
 
 
+def found_of(spark, rows: dict) -> dict:
+    """Words of each document that the passages found cover."""
+    covered = collections.defaultdict(set)
+    for r in substrings.repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)).collect():
+        covered[r.doc_id] |= set(range(r.start_word, r.end_word))
+    return covered
+
+
+def test_passages_with_spread_edits_repeat(spark):
+    rows, want = {}, {}
+    for k, (n, edits) in enumerate(((54, 1), (100, 2), (150, 3), (200, 4), (400, 8))):
+        for trial in range(6):
+            key = 100 * k + trial
+            passage = words(n, 5000 + key)
+            other = ["edited%d" % i if any(i == (e + 1) * n // (edits + 1) for e in range(edits)) else w for i, w in enumerate(passage)]
+            rows[key] = " ".join([*words(60, 6000 + key), *passage, *words(40, 7000 + key)])
+            rows[10_000 + key] = " ".join([*words(33, 8000 + key), *other, *words(70, 9000 + key)])
+            want[10_000 + key] = set(range(33, 33 + n))
+    got = found_of(spark, rows)
+    assert set(got) == set(want) and all(want[d] <= got[d] <= set(range(28, 38 + len(want[d]))) for d in want)
+
+
 PAGES = "page_id long, url string, html string, text string, digest string"
 
 
