@@ -200,6 +200,16 @@ def test_passages_with_spread_edits_repeat(spark):
     assert set(got) == set(want) and all(want[d] <= got[d] <= set(range(28, 38 + len(want[d]))) for d in want)
 
 
+def test_passages_whose_parts_stand_in_earlier_documents_repeat(spark):
+    rows, want = {}, {}
+    for k in range(20):
+        passage = words(60, 300 + k)
+        for d, part in ((1, passage[:45]), (2, passage[15:]), (10, passage), (20, passage)):
+            rows[1000 * k + d] = " ".join([*words(40, 1000 * k + d), *part, *words(40, 1000 * k + 500 + d)])
+        want[1000 * k + 20] = set(range(40, 100))
+    assert found_of(spark, rows) == want
+
+
 PAGES = "page_id long, url string, html string, text string, digest string"
 
 
