@@ -210,6 +210,16 @@ def test_passages_whose_parts_stand_in_earlier_documents_repeat(spark):
     assert found_of(spark, rows) == want
 
 
+def test_passages_that_repeat_themselves_are_found(spark):
+    period = ["a", "b", "c", "d", "e", "f"]
+    rows, want = {}, {}
+    for k, passage in enumerate((period * 10, period * 100, ["-"] * 60, ["0", "."] * 300)):
+        passage = [f"{w}{k}" for w in passage]
+        rows[k], rows[10 + k] = (" ".join([*words(80, 20 * k + s), *passage, *words(80, 20 * k + s + 1)]) for s in (1, 3))
+        want[10 + k] = set(range(80, 80 + len(passage)))
+    assert found_of(spark, rows) == want
+
+
 PAGES = "page_id long, url string, html string, text string, digest string"
 
 
