@@ -364,6 +364,19 @@ def test_host_paths_decide(spark):
     assert extract.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_all_containers_of_the_winning_path_are_taken(spark):
+    one, two, three = ("<div class='text'><p>" + f"{w} " * n + "</p></div>" for w, n in (("one", 150), ("two", 100), ("three", 150)))
+    advert = "<div class='advert'>buy</div>"
+    wrapped, bare = f"<body><div>{one}{advert}{two}</div></body>", f"<body>{one}{advert}{two}{three}</body>"
+    assert extract.main_text(wrapped, None) == " ".join(["one"] * 150 + ["two"] * 100)
+    assert extract.main_text(bare, None) == " ".join(["one"] * 150 + ["two"] * 100 + ["three"] * 150)
+    pages = spark.createDataFrame([(i, "http://h.org/%d" % i, wrapped) for i in range(3)] + [(3, "http://g.org", bare)], "page_id long, url string, html string")
+    assert {r.page_id: len(r.text.split()) for r in extract.extracted(pages).collect()} == {0: 250, 1: 250, 2: 250, 3: 400}
+    story = "<div class='story'><p>" + "w " * 90 + "</p></div>"                   # two halves outweigh one longer block of another path
+    halves = "<body><div class='post'><p>" + "p " * 60 + "</p></div>" + story.replace("w ", "v ") + "<div class='post'><p>" + "q " * 60 + "</p></div></body>"
+    assert extract.main_text(halves, None) == " ".join(["p"] * 60 + ["q"] * 60)
+
+
 def test_pages_of_the_tables(spark):
     def article(page: str) -> str:
         inside = page[page.index("<article>"):page.index("</article>")]

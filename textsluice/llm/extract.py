@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -113,17 +114,30 @@ class Page:
             size[self.parent[k]] += size[k]
         return size
 
-    def best(self, among: list[int] | None = None) -> int | None:
-        """The container with the highest score, the outer one of equals."""
-        size = self.sizes()
-        among = range(len(size)) if among is None else among
-        scored = [(size[k] * self.weight[k], -k) for k in among if not self.out[k]]
-        score, k = max(scored, default=(0, 0))
-        return -k if score > 0 else None
-
-    def text(self, k: int) -> str:
-        """Text of a container, white space and block ends as one space."""
-        return " ".join("".join(t for n, t, _ in self.pieces if k <= n < self.stop[k] and not self.out[n]).split())
+    def best(self, among: Iterable[str] | None = None) -> list[int]:
+        """The containers on the path with the highest score, those marked aside left
+        out; of equal paths the one that comes first in the page, so the outer one.
+
+        A path's score is the sum over its containers.  A path names all that a
+        container lies in, so none of them lies in another.
+        """
+        size, found = self.sizes(), {}
+        for k, path in enumerate(self.path):
+            if not self.out[k] and (among is None or path in among):
+                score, at = found.setdefault(path, (0.0, []))
+                at.append(k)
+                found[path] = score + size[k] * self.weight[k], at
+        score, at = max(found.values(), key=lambda x: (x[0], -x[1][0]), default=(0, []))
+        return at if score > 0 else []
+
+    def text(self, among: list[int]) -> str:
+        """Text of containers in page order, white space, block and container ends as one space."""
+        parts: list[list[str]] = [[] for _ in among]
+        for n, t, _ in self.pieces:
+            at = bisect_right(among, n) - 1
+            if at >= 0 and n < self.stop[among[at]] and not self.out[n]:
+                parts[at].append(t)
+        return " ".join(" ".join("".join(part) for part in parts).split())
 
 
 def host_of(url: str = "url"):
@@ -136,7 +150,7 @@ def _votes(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
     for html in batch.column(1).to_pylist():
         page = Page(html)
         best = page.best()
-        paths.append(None if best is None else page.path[best])
+        paths.append(page.path[best[0]] if best else None)
     yield from sliced([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
 
 
@@ -150,15 +164,14 @@ def host_paths(pages: DataFrame, keep: int = PATHS) -> DataFrame:
 
 
 def main_text(html: str, paths: list[str] | None) -> str:
-    """Text of the container on the first of ``paths`` that the page has with
-    text, of its own best container if it has none of them."""
+    """Text of all containers on the first of ``paths`` that the page has with
+    text, on its own best path if it has none of them."""
     page = Page(html)
     for path in paths or ():
-        best = page.best([k for k, p in enumerate(page.path) if p == path])
-        if best is not None:
+        best = page.best((path,))
+        if best:
             return page.text(best)
-    best = page.best()
-    return "" if best is None else page.text(best)
+    return page.text(page.best())
 
 
 def _texts(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
