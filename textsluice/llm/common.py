@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -72,6 +73,18 @@ def portions(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iter
         at = to
 
 
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_slices(text: bytes, most: int = TEXT_BYTES) -> Iterator[bytes]:
+    """A long text in slices cut at white space, so that lists of words stay short."""
+    at = 0
+    while len(text) - at > most and (cut := SPACE.search(text, at + most)):
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def text_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, column: int) -> DataFrame:
     """``mapInArrow`` of a function on the portions of batches by the texts in ``column``."""
     return arrow_map(df, lambda batch: (out for part in portions(batch, column) for out in fn(part)), schema)
