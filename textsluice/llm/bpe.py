@@ -32,7 +32,6 @@ def _byte_of() -> dict[str, int]:
 class ByteBpe:
     def __init__(self, path: str):
         import tiktoken
-        import tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -43,10 +42,17 @@ class ByteBpe:
         letters = _byte_of()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
-        self.library = tokenizers.Tokenizer.from_file(path)
+        self.path = path
         self.fast = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
         self.is_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library's form of the file; read once a text needs it."""
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         if OTHER.search(text) or self.is_special.search(text):
@@ -80,7 +86,7 @@ class ByteBpe:
         return len(self.fast.encode_ordinary(piece))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def byte_bpe(path: str) -> ByteBpe:
     """The encoder of a file; one for each worker process."""
     return ByteBpe(path)

@@ -97,6 +97,20 @@ def sliced(arrays: list, names: list[str]) -> Iterator[pa.RecordBatch]:
         yield table.slice(at, OUT_ROWS)
 
 
+def as_bytes(batch: pa.RecordBatch) -> bytes:
+    """A batch in Arrow's stream form: one binary value instead of nested columns,
+    which Spark's readers and writers would unfold value by value."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def from_bytes(body) -> pa.RecordBatch:
+    """The batch that :func:`as_bytes` wrote; its arrays lie in *body*."""
+    return pa.ipc.open_stream(body).read_next_batch()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads nearby values over all bits."""
     x = x.astype(np.uint64)

@@ -10,13 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from textsluice.llm.common import bytes_of, kept, map_in_arrow, portions, word_slices
+from textsluice.llm.common import as_bytes, bytes_of, from_bytes, kept, map_in_arrow, portions, word_slices
 
 FILTERS = "ABCDE"
 #: Words of texts that one shard of the matrix holds, or those of one longer text.
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 21
 #: Distinct words of one shard, which bounds its own dictionary.
-SHARD_TERMS = 1 << 19
+SHARD_TERMS = 1 << 18
 #: Parts that the dictionary is numbered in; ids are dense but for their unevenness.
 BUCKETS = 1 << 16
 #: Copies of a repeated text's row, so that a text that a third of all rows hold spreads over tasks.
@@ -26,9 +26,11 @@ UPPER = bytes(range(ord("A"), ord("Z") + 1))
 LATER_BYTES = bytes(range(0x80, 0xC0))      # bytes of a character after its first
 SIGNS = b"#$%&*|"
 
-ROWS = "doc_id array<bigint>, part array<string>, flags array<int>, digest array<binary>, row_stop array<int>"
-LOCAL = f"shard long, {ROWS}, indices array<int>, data array<int>, words array<string>"
-GLOBAL = f"shard long, {ROWS}, indices array<bigint>, data array<int>"
+#: A shard: its columns as one Arrow batch, and its own dictionary.
+LOCAL = "shard long, body binary, words array<string>"
+GLOBAL = ("shard long, doc_id array<bigint>, part array<string>, flags array<int>, digest array<binary>, row_stop array<int>, "
+          "data array<int>, indices array<bigint>")
+FIGURES = "doc_id long, part string, digest binary, flags int, n_words long, n_distinct long, salt int"
 
 
 class _Terms(dict):
@@ -67,12 +69,12 @@ class _Shard:
         self.words += sum(sizes)
 
     def row(self, shard: int) -> pa.RecordBatch:
-        one = lambda values, kind: pa.array([values], pa.list_(kind))
-        return pa.RecordBatch.from_arrays([
-            pa.array([shard], pa.int64()), one(self.doc_id, pa.int64()), one(self.part, pa.string()), one(self.flags, pa.int32()),
-            one(self.digest, pa.binary()), one(np.concatenate(self.row_stop), pa.int32()), one(np.concatenate(self.indices), pa.int32()),
-            one(np.concatenate(self.data), pa.int32()), one(list(self.terms), pa.string())],
-            names=["shard", "doc_id", "part", "flags", "digest", "row_stop", "indices", "data", "words"])
+        columns = {"doc_id": pa.array(self.doc_id, pa.int64()), "part": pa.array(self.part, pa.string()), "flags": pa.array(self.flags, pa.int32()),
+                   "digest": pa.array(self.digest, pa.binary()), "row_stop": pa.array(np.concatenate(self.row_stop)),
+                   "data": pa.array(np.concatenate(self.data)), "indices": pa.array(np.concatenate(self.indices))}
+        body = as_bytes(pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(a)], a) for a in columns.values()], names=list(columns)))
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([body], pa.binary()), pa.array([list(self.terms)], pa.list_(pa.string()))],
+                                          names=["shard", "body", "words"])
 
 
 def _local_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +107,37 @@ def dictionary(shards: DataFrame) -> DataFrame:
     return words.select("shard", "at", ((rank - 1) * BUCKETS + F.col("bucket")).alias("id"))
 
 
-def _renumbered(shard: pa.Table, ids: pa.Table) -> pa.Table:
+def _renumbered(shard: pa.Table, ids: pa.Table) -> dict[str, pa.Array]:
+    """A shard's columns with global ids."""
     by_at = np.zeros(ids.num_rows, np.int64)
     by_at[ids.column("at").to_numpy()] = ids.column("id").to_numpy()
-    local = shard.column("indices").combine_chunks()
-    indices = pa.ListArray.from_arrays(local.offsets, pa.array(by_at[local.values.to_numpy()], pa.int64()))
-    return shard.set_column(shard.column_names.index("indices"), "indices", indices).drop_columns(["words"])
+    body = from_bytes(shard.column("body")[0].as_buffer())
+    columns = {name: body.column(name).flatten() for name in body.schema.names}
+    return columns | {"indices": pa.array(by_at[columns["indices"].to_numpy()])}
+
+
+def _shard_row(shard: pa.Table, ids: pa.Table) -> pa.Table:
+    columns = _renumbered(shard, ids)
+    return pa.table([shard.column("shard"), *[pa.ListArray.from_arrays([0, len(a)], a) for a in columns.values()]], names=["shard", *columns])
+
+
+def _row_figures(shard: pa.Table, ids: pa.Table) -> pa.Table:
+    """Row sums, distinct ids of each row, and the flags they decide."""
+    row = _renumbered(shard, ids)
+    stop = row["row_stop"].to_numpy().astype(np.int64)
+    start = np.concatenate([[0], stop[:-1]])
+    uses = np.concatenate([[0], np.cumsum(row["data"].to_numpy(), dtype=np.int64)])
+    cell = np.concatenate([[0], np.cumsum(row["data"].to_numpy() > 0)])
+    words, distinct = uses[stop] - uses[start], cell[stop] - cell[start]
+    flags = row["flags"].to_numpy() | (words < 100) | (100 * distinct < 80 * words) * 2
+    return pa.table([row["doc_id"], row["part"], row["digest"], pa.array(flags.astype(np.int32)), pa.array(words), pa.array(distinct),
+                     pa.array(np.arange(len(stop), dtype=np.int32) % SALTS)],
+                    names=["doc_id", "part", "digest", "flags", "n_words", "n_distinct", "salt"])
+
+
+def _by_shard(docs: DataFrame, fn, schema: str) -> DataFrame:
+    shards = kept(local_shards(docs), "csr-shards")
+    return shards.select("shard", "body").groupBy("shard").cogroup(dictionary(shards).groupBy("shard")).applyInArrow(fn, schema)
 
 
 def matrix(docs: DataFrame) -> DataFrame:
@@ -120,34 +147,13 @@ def matrix(docs: DataFrame) -> DataFrame:
     that look at characters, digest of the text and where its row stops; the
     cells are ``indices`` (global ids of words) and ``data`` (uses).
     """
-    shards = kept(local_shards(docs), "csr-shards")
-    ids = dictionary(shards)
-    return shards.groupBy("shard").cogroup(ids.groupBy("shard")).applyInArrow(_renumbered, GLOBAL)
-
-
-def _row_figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(column: pa.Array) -> pa.Array:
-        return column.flatten()
-
-    for batch in batches:
-        for k in range(batch.num_rows):
-            one = {name: rows(batch.column(name).slice(k, 1)) for name in batch.schema.names if name != "shard"}
-            stop = one["row_stop"].to_numpy()
-            start = np.concatenate([[0], stop[:-1]]).astype(np.int64) if len(stop) else stop
-            uses = np.concatenate([[0], np.cumsum(one["data"].to_numpy(), dtype=np.int64)])
-            words, distinct = uses[stop] - uses[start], (stop - start).astype(np.int64)
-            flags = one["flags"].to_numpy() | (words < 100) | (100 * distinct < 80 * words) * 2
-            yield pa.RecordBatch.from_arrays(
-                [one["doc_id"], one["part"], one["digest"], pa.array(flags.astype(np.int32)), pa.array(words), pa.array(distinct),
-                 pa.array(np.arange(len(stop), dtype=np.int32) % SALTS)],
-                names=["doc_id", "part", "digest", "flags", "n_words", "n_distinct", "salt"])
+    return _by_shard(docs, _shard_row, GLOBAL)
 
 
 def flagged(docs: DataFrame) -> DataFrame:
     """(doc_id, part, n_words, n_distinct, flags) of every row: row sums and
     cells of its row of the matrix, and one bit per filter that it fails."""
-    rows = kept(matrix(docs).mapInArrow(_row_figures, "doc_id long, part string, digest binary, flags int, n_words long, n_distinct long, salt int"),
-                "row-figures")
+    rows = kept(_by_shard(docs, _row_figures, FIGURES), "row-figures")
     # only texts that occur twice are joined back, each copied per salt
     first = (rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
              .select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))

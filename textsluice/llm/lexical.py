@@ -18,12 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from textsluice.llm.common import bytes_of, kept, map_in_arrow, portions, sliced, word_slices
+from textsluice.llm.common import as_bytes, bytes_of, from_bytes, kept, map_in_arrow, portions, sliced, word_slices
 from textsluice.session import ensure_checkpoint_dir
 
 TOP = 50
 #: Documents and postings of a chunk, of which one longer document may hold more.
-CHUNK_DOCS, CHUNK_POSTINGS = 2048, 1 << 20
+CHUNK_DOCS, CHUNK_POSTINGS = 1024, 1 << 17
 #: Queries searched for at a time, which bounds what tasks are sent.
 BLOCK = 256
 #: Cells of the table of scores that is filled at a time.
@@ -32,8 +32,8 @@ CELLS = 1 << 20
 #: Bytes of terms as themselves, A-Z in lower case, all others as a space.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-FORWARD = "row long, doc_id long, n long, terms array<string>, tfs array<int>"
-INDEX = "m long, n_docs int, docs array<bigint>, terms array<string>, group_term array<int>, group_tf array<int>, group_stop array<int>, at array<int>"
+FORWARD = "row long, doc_id long, n long, terms binary, tfs binary"
+INDEX = "m long, n_docs int, body binary"
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,48 +46,46 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Counter()
             for part in word_slices(text.translate(TERM_BYTES)):
                 found.update(part.split())
-            terms += found.keys()
-            tfs += found.values()
-            sizes.append(len(found))
-        stops = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        tf = np.array(tfs, np.int32)
-        upto = np.concatenate([[0], np.cumsum(tf, dtype=np.int64)])
+            terms.append(b" ".join(found))
+            tfs.append(np.fromiter(found.values(), "<u4", len(found)).tobytes())
+            sizes.append(found.total())
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.arange(row, row + batch.num_rows)), batch.column(0), pa.array(upto[stops[1:]] - upto[stops[:-1]]),
-            pa.ListArray.from_arrays(stops, pa.array(terms, pa.string())), pa.ListArray.from_arrays(stops, pa.array(tf))],
-            names=["row", "doc_id", "n", "terms", "tfs"])
+            pa.array(np.arange(row, row + batch.num_rows)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(terms, pa.binary()),
+            pa.array(tfs, pa.binary())], names=["row", "doc_id", "n", "terms", "tfs"])
         row += batch.num_rows
 
 
 def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, n, terms, tfs) of every row: its terms, once each, with
-    their counts; n is their sum.  A null text has none."""
+    """(row, doc_id, n, terms, tfs) of every row: its terms, once each and joined
+    by spaces, with their counts as unsigned 32-bit numbers; n is their sum.  A
+    null text has none."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), bytes_of(text).alias("text"))
     return map_in_arrow(rows, _terms, FORWARD)
 
 
 def _chunk(m: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     docs = pa.chunked_array([p.column("doc_id") for p in parts]).combine_chunks()
-    sizes = np.concatenate([pc.list_value_length(p.column("terms")).to_numpy() for p in parts])
-    coded = pa.chunked_array([p.column("terms").flatten() for p in parts]).combine_chunks().dictionary_encode()
-    tf = np.concatenate([p.column("tfs").flatten().to_numpy() for p in parts])
+    split = [t.split() for p in parts for t in p.column("terms").to_pylist()]
+    sizes = np.array([len(t) for t in split])
+    coded = pa.array([t for terms in split for t in terms], pa.string()).dictionary_encode()
+    tf = np.frombuffer(b"".join(t for p in parts for t in p.column("tfs").to_pylist()), "<u4").astype(np.int64)
     term, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     order = np.lexsort((doc, -tf, term))
     term, tf, doc = term[order], tf[order], doc[order]
     stops = np.flatnonzero(np.append((term[1:] != term[:-1]) | (tf[1:] != tf[:-1]), True)) + 1
-    one = lambda values, kind: pa.array([values], pa.list_(kind))
-    lists = [pa.ListArray.from_arrays([0, len(a)], a) for a in (docs, coded.dictionary.cast(pa.string()))]
-    return pa.RecordBatch.from_arrays([
-        pa.array([m], pa.int64()), pa.array([len(sizes)], pa.int32()), *lists, one(term[stops - 1], pa.int32()),
-        one(tf[stops - 1], pa.int32()), one(stops.astype(np.int32), pa.int32()), one(doc, pa.int32())],
-        names=["m", "n_docs", "docs", "terms", "group_term", "group_tf", "group_stop", "at"])
+    columns = {"docs": docs, "terms": coded.dictionary, "group_term": pa.array(term[stops - 1].astype(np.int32)), "group_tf": pa.array(tf[stops - 1]),
+               "group_stop": pa.array(stops), "at": pa.array(doc.astype(np.int32))}
+    lists = [pa.ListArray.from_arrays([0, len(a)], a) for a in columns.values()]
+    body = as_bytes(pa.RecordBatch.from_arrays(lists, names=list(columns)))
+    return pa.RecordBatch.from_arrays([pa.array([m], pa.int64()), pa.array([len(sizes)], pa.int32()), pa.array([body], pa.binary())],
+                                      names=["m", "n_docs", "body"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, docs, postings, current = [], 0, 0, None
     for batch in batches:
         m = batch.column("m").to_numpy()
-        ends = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy().astype(np.int64))
+        ends = np.cumsum(pc.binary_length(batch.column("tfs")).to_numpy().astype(np.int64) // 4)
         at = 0
         while at < len(m):
             if held and (m[at] != current or docs >= CHUNK_DOCS or postings >= CHUNK_POSTINGS):
@@ -130,7 +128,7 @@ class _Queries:
     def __init__(self, rows):
         self.ids = [r["doc_id"] for r in rows]
         numbers: dict[str, int] = {}
-        pairs = [(numbers.setdefault(t, len(numbers)), q) for q, r in enumerate(rows) for t in r["terms"]]
+        pairs = [(numbers.setdefault(t, len(numbers)), q) for q, r in enumerate(rows) for t in map(bytes.decode, r["terms"].split())]
         self.terms = list(numbers)
         term, query = np.array(pairs, np.int64).reshape(-1, 2).T
         order = np.lexsort((query, term))
@@ -152,19 +150,20 @@ class _Chunk:
     """What a chunk holds of the terms of a block of queries."""
 
     def __init__(self, batch: pa.RecordBatch, terms: pa.Array):
-        get = lambda name: batch.column(name).flatten()
+        body = from_bytes(batch.column("body")[0].as_buffer())
+        get = lambda name: body.column(name).flatten()
         self.m, self.n = batch.column("m")[0].as_py(), batch.column("n_docs")[0].as_py()
         number = pc.index_in(get("terms"), value_set=terms)
         number = pc.fill_null(number, -1).to_numpy()[get("group_term").to_numpy()]
-        stop = get("group_stop").to_numpy().astype(np.int64)
+        stop = get("group_stop").to_numpy()
         start = np.concatenate([[0], stop[:-1]])
         mine = number >= 0
         self.term, self.tf, self.start, self.stop = number[mine].astype(np.int64), get("group_tf").to_numpy()[mine], start[mine], stop[mine]
         self.first = np.append(True, self.term[1:] != self.term[:-1])[:len(self.term)]      # a term's highest tf
-        self.batch = batch
+        self.body = body
 
     def postings(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.batch.column("docs").flatten().to_numpy(zero_copy_only=False), self.batch.column("at").flatten().to_numpy()
+        return self.body.column("docs").flatten().to_numpy(zero_copy_only=False), self.body.column("at").flatten().to_numpy()
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

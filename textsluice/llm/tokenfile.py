@@ -42,53 +42,75 @@ PART_BYTES, MOST_PARTS = 1 << 25, 20_000
 END = 2
 
 
+#: Bits that each number of 16 bits needs.
+BITS = np.concatenate([[0], np.repeat(np.arange(1, 17), 1 << np.arange(16))]).astype(np.uint8)
+#: Ids that a word of each selector takes; a run's length is its own.
+TAKES = np.append(COUNTS, [0, 1])
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs."""
+    if not len(ids) or int(ids.max()) < 1 << 16:
+        return BITS[ids.astype(np.uint16)]
     out = np.zeros(len(ids), np.uint8)
-    for k in (32, 16, 8, 4, 2, 1):
-        big = ids >> np.uint64(k) != 0
-        out[big] += k
-        ids = np.where(big, ids >> np.uint64(k), ids)
-    return out + (ids != 0)
+    for k in range(4):
+        part = BITS[(ids >> np.uint64(16 * k)).astype(np.uint16)]
+        out = np.where(part > 0, part + np.uint8(16 * k), out)
+    return out
 
 
-def _choices(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For a word that starts at each id: its selector and how many ids it takes.
-    ``ends`` is where the id's block ends; ids beyond it count as zeros."""
-    n = len(ids)
-    bits, left = _bits(ids), ends - np.arange(n)
-    selector, takes = np.full(n, ESCAPE, np.uint8), np.ones(n, np.int64)
-    widest, window, done = bits.copy(), 1, {}
-    for count in sorted(COUNTS.tolist()):           # maxima of ever longer windows
-        while window < count:
-            step = min(window, count - window)
-            shifted = np.zeros(n, np.uint8)
-            shifted[:n - step] = widest[step:]
-            widest, window = np.maximum(widest, shifted), window + step
-        done[count] = widest
-    for k in range(len(COUNTS) - 1, -1, -1):        # the fullest word that fits wins
-        count = int(COUNTS[k])
-        fits = (done[count] <= WIDTHS[k]) & (left >= count)
-        selector[fits], takes[fits] = k, count
-    change = np.flatnonzero(np.concatenate([ids[1:] != ids[:-1], [True]])) + 1
-    run = np.minimum(np.minimum(change[np.searchsorted(change, np.arange(n), side="right")] - np.arange(n), left), LONGEST_RUN)
-    runs = (run > takes) & (bits <= 32)
-    selector[runs], takes[runs] = RUN, run[runs]
-    return selector, takes
+def _fullest(bits: np.ndarray, block: int) -> np.ndarray:
+    """The selector of the fullest word that could start at each id and stay in
+    its block."""
+    n, gap = len(bits), int(COUNTS[0])
+    blocks = -(-n // block)
+    padded = np.full((blocks, block + gap), 255, np.uint8)      # no word reaches over a block's end
+    whole = n // block
+    padded[:whole, :block] = bits[:whole * block].reshape(whole, block)
+    if whole < blocks:
+        padded[whole, :n - whole * block] = bits[whole * block:]
+    widest = padded.ravel()
+    selector, window = np.full(len(widest), ESCAPE, np.uint8), 1
+    for k in range(len(COUNTS) - 1, -1, -1):        # maxima of ever longer windows; the last that fits wins
+        while window < COUNTS[k]:
+            step = min(window, int(COUNTS[k]) - window)
+            longer = widest.copy()
+            np.maximum(widest[:-step], widest[step:], out=longer[:-step])
+            widest, window = longer, window + step
+        np.putmask(selector, widest <= WIDTHS[k], np.uint8(k))
+    return selector.reshape(blocks, block + gap)[:, :block].ravel()[:n]
 
 
 def encoded(ids: np.ndarray, block: int = BLOCK, escaped: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, word that each block starts at, escapes) of unsigned 64-bit ids."""
+    """(words, word that each block starts at, escapes) of unsigned 64-bit ids.
+
+    Words are chosen from left to right: a run if it takes more ids than the
+    fullest other word.
+    """
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     starts = np.arange(0, n, block)
-    selector, takes = _choices(ids, np.minimum(np.repeat(starts + block, block)[:n], n))
-    jump, at, chain = (np.arange(n) + takes).tolist(), 0, []
+    bits = _bits(ids)
+    selector = _fullest(bits, block)
+    takes = TAKES[selector]
+    # runs are cut at block ends, so those of a block are looked at alone
+    same = np.zeros(n + 1, np.int8)
+    same[1:n] = ids[1:] == ids[:-1]
+    same[starts] = 0
+    turn = np.diff(same)
+    begin, stop = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1) + 1
+    fits = bits[begin] <= 32
+    begin, size = begin[fits], (stop - begin)[fits]
+    within = _within(size)
+    at, left = np.repeat(begin, size) + within, np.minimum(np.repeat(size, size) - within, LONGEST_RUN)
+    better = left > takes[at]
+    selector[at[better]], takes[at[better]] = RUN, left[better]
+    step, at, chain = np.where(takes < 256, takes, 0).astype(np.uint8).tobytes(), 0, []
     while at < n:
         chain.append(at)
-        at = jump[at]
+        at += step[at] or int(takes[at])
     first = np.array(chain, np.int64)
     kind = selector[first]
     words = kind.astype(np.uint64) << np.uint64(60)
