@@ -3,18 +3,21 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from textsluice.functions.rules import Policy, POLICIES
 from textsluice.operators import access, audit
 from textsluice.operators.config import FIELDS, Config, config_history, config_intervals
 from textsluice.operators.gate import detailed_gate, gate
 from textsluice.operators.intervals import interval_join, running_last, running_total
+from textsluice.plans import catalog as c
 from textsluice.plans.replay import replay
 from textsluice.sources import sinks
-from textsluice.sources.calls import parse_calls, read_lines, tool_calls
+from textsluice.sources.calls import parse_calls, read_lines, rejected_lines, tool_calls
+from textsluice.sources.sinks import append_audit, newest_events
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -236,3 +239,42 @@ def test_access(spark):
                                   "i int, tool string, path string, user_id string")
     out = access.forbidden_calls(calls, dangerous_tools=["drop"], destructive_tools=["write"], sensitive_paths=["/etc/"])
     assert {r.i: r.refusal for r in out.collect()} == {1: "dangerous_tool", 2: "unauthenticated", 3: "sensitive_path", 4: None, 5: None}
+
+
+def test_rejected_lines(spark, tmp_path):
+    path = tmp_path / "calls.jsonl"
+    path.write_bytes("\n".join(LINES).encode() + b'\n{"jsonrpc":"2.0","method":"\xff"}\n')
+    lines = read_lines(spark, str(path))
+    found = rejected_lines(lines)
+    counts = {r["reason"]: r["count"] for r in found.groupBy("reason").count().collect()}
+    assert counts == {"encoding": 1, "json": 4, "shape": 4} and found.columns == ["value", "reason"]
+    seen = Observation("lines")
+    assert parse_calls(lines, observation=seen).count() == 6
+    assert seen.get == {"calls": 6, **counts}
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_newest_events_read_few_days(spark, tmp_path, shuffled):
+    """Whether or not days follow seq, the newest entries come back."""
+    day = F.col("id") % 10 if shuffled else F.floor(F.col("id") / 100)
+    log = spark.range(1000).select(F.col("id").alias("seq"), F.lit("i").alias("id"), F.lit("t").alias("event_type"), F.timestamp_seconds(day * 86_400).alias("ts"),
+                                   F.lit("d").alias("details"), F.lit("u").alias("user_id"))
+    append_audit(log, str(tmp_path / "log"))
+    newest = newest_events(spark, str(tmp_path / "log"), 150)
+    assert sorted(r.seq for r in newest.collect()) == list(range(850, 1000))
+    assert newest_events(spark, str(tmp_path / "log"), 5000).count() == 1000
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert shuffled or re.findall(r"1970-\d\d-\d\d", plan.split("PartitionFilters: [")[1].split("]")[0]) == ["1970-01-09", "1970-01-10"]
+
+
+def test_gate_by_keys(spark, sf):
+    """Keys read apart from the texts give the same verdicts; refused requests alone are joined."""
+    config = Config(max_requests_per_minute=2)
+    reqs, keys = c.requests(spark, sf), c.request_keys(spark, sf)
+    for run in (gate, detailed_gate):
+        one, other = run(reqs, config, window_us=c.DAY_US), run(reqs, config, window_us=c.DAY_US, keys=keys)
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    codes = {r.code for r in other.collect()}
+    assert "RATE_LIMIT" in codes and None in codes
+    off = detailed_gate(reqs, Config(enable_rate_limiting=False), window_us=c.DAY_US)
+    assert off.where("code = 'RATE_LIMIT'").count() == 0

@@ -33,11 +33,15 @@ def hits(rule, text: Column, folded: Column) -> Column:
     return test if guard is None else guard & test
 
 
+#: Rules that one mask holds.
+MASK_RULES = 63
+
+
 def hit_mask(rules, text: Column, folded: Column) -> Column:
-    """One bit per rule (at most 63 rules): the only thing later steps need to
+    """One bit per rule (at most ``MASK_RULES``): the only thing later steps need to
     know about a text, so shuffles downstream carry eight bytes for it."""
-    if len(rules) > 63:
-        raise ValueError("a mask holds at most 63 rules; build one per slice of the rules")
+    if len(rules) > MASK_RULES:
+        raise ValueError(f"a mask holds at most {MASK_RULES} rules; build one per slice of the rules")
     bits = [F.when(hits(r, text, folded), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
             for i, r in enumerate(rules)]
     return reduce(lambda a, b: a.bitwiseOR(b), bits) if bits else F.lit(0).cast("long")

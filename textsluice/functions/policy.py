@@ -45,6 +45,14 @@ def policy_masks(text: Column, policies: Sequence[Policy] = POLICIES, names: Col
     return F.concat(F.array().cast("array<bigint>"), *[F.array(m) for m in masks])
 
 
+def hit_places(masks: Column, n: int) -> Column:
+    """The places (from 0) of the policies that fired, of *n*, as ``array<int>``."""
+    if not n:
+        return F.array().cast("array<int>")
+    return F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: masks[F.floor(i / SLICE).cast("int")].bitwiseAND(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(SLICE)))) != 0)
+
+
 def policy_records(masks: Column, policies: Sequence[Policy] = POLICIES) -> Column:
     """The fired policies in policy order as ``array<struct<policy,action,description>>``."""
     def fired(k: int, part: Sequence[Policy]) -> Column:

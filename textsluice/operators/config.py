@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.rules import MAX_REQUESTS, MAX_TOKENS
-from .intervals import BLOCKS, in_blocks, running_last
+from .intervals import in_blocks, running_last
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ def _valid(name: str) -> Column:
 
 
 def config_history(patches: DataFrame, *, seq: str = "seq", defaults: Config = Config(),
-                   blocks: int = BLOCKS) -> DataFrame:
+                   blocks: int | None = None) -> DataFrame:
     """Patches (nullable setting columns, unique *seq*) to the settings in
     force after each of them."""
     clean = patches.select(seq, *[
@@ -62,7 +62,7 @@ def config_intervals(history: DataFrame, *, seq: str = "seq", defaults: Config =
 
 
 def next_start(df: DataFrame, start: str = "from_seq", stop: str = "to_seq", *, keys: tuple[str, ...] = (),
-               blocks: int = BLOCKS) -> DataFrame:
+               blocks: int | None = None) -> DataFrame:
     """Adds *stop*: the next row's *start* among rows of the same *keys*, or
     null on the last one.  Found per block of the axis, and for a block's last
     row from the blocks after it, so one key may hold most of the rows."""

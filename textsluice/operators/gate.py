@@ -76,41 +76,50 @@ def verdict_columns(limited: DataFrame, settings: dict[str, Column], counts: dic
     )
 
 
-def limit_requests(screened: DataFrame, config: Config, window_us: int, hot_rows: int) -> DataFrame:
+def limit_requests(screened: DataFrame, config: Config, window_us: int, hot_rows: int, counted: DataFrame | None = None) -> DataFrame:
     """Every request passes the limiter first, whatever becomes of it later."""
     if not config.enable_rate_limiting:
         return (screened.withColumn("limited", F.lit(False))
                 .withColumn("retry_after", F.lit(None).cast("bigint")))
     return rate_limit(screened, max_requests=config.max_requests_per_minute,
-                      window_us=window_us, hot_rows=hot_rows)
+                      window_us=window_us, hot_rows=hot_rows, counted=counted)
 
 
 def gate(requests: DataFrame, config: Config = Config(), policies: Sequence[Policy] = POLICIES, *,
-         window_us: int = WINDOW_US, hot_rows: int = HOT_ROWS) -> DataFrame:
+         window_us: int = WINDOW_US, hot_rows: int = HOT_ROWS, keys: DataFrame | None = None) -> DataFrame:
     """Verdicts for requests (seq, ts, user_id, text).
 
     Texts are screened where they are read and dropped before the limiter's
-    shuffle, which moves some 60 bytes per request instead of the text.
+    shuffle, which moves some 60 bytes per request instead of the text.  *keys*
+    (seq, ts, user_id) are the same requests without texts, where that is
+    cheaper to read.
     """
     screened = screen_requests(requests, config, policies).select(
         "seq", "ts", "user_id", "n_bytes", "input_mask", "policy_masks")
-    limited = limit_requests(screened, config, window_us, hot_rows)
+    limited = limit_requests(screened, config, window_us, hot_rows, keys)
     return verdict_columns(limited, settings_of(config), policy_counts(policies)).select(*VERDICT)
 
 
 def detailed_gate(requests: DataFrame, config: Config = Config(), policies: Sequence[Policy] = POLICIES, *,
-                  window_us: int = WINDOW_US, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  window_us: int = WINDOW_US, hot_rows: int = HOT_ROWS, keys: DataFrame | None = None) -> DataFrame:
     """Verdicts with the ``validation`` and ``policy`` structs attached: none
     for a limited request, validation only for an invalid one, else both; a
     stage that is off gives null.
 
-    The limiter decides on (seq, ts, user_id) alone and is joined back by seq,
-    so texts never pass through Python or sit behind a hot user.
+    The limiter decides on (seq, ts, user_id) alone, as in *keys* or *requests*,
+    and only the requests it refuses are joined back by seq: where they are few,
+    Spark broadcasts them and no text is shuffled.  Texts never pass through
+    Python or sit behind a hot user.  With the limiter off nothing is joined.
     """
-    keys = with_defaults(requests).select("seq", "ts", "user_id")
-    limits = limit_requests(keys, config, window_us, hot_rows).select("seq", "limited", "retry_after")
-    full = verdict_columns(screen_requests(requests, config, policies).join(limits, "seq"),
-                           settings_of(config), policy_counts(policies))
+    screened = screen_requests(requests, config, policies)
+    if config.enable_rate_limiting:
+        asked = (requests.select("seq", "ts", "user_id") if keys is None else keys).withColumn(
+            "user_id", F.coalesce(F.col("user_id").cast("string"), F.lit(ANONYMOUS)))
+        refused = limit_requests(asked.select("seq", "ts", "user_id"), config, window_us, hot_rows).where("limited").select("seq", "limited", "retry_after")
+        limits = screened.join(refused, "seq", "left").withColumn("limited", F.coalesce("limited", F.lit(False)))
+    else:
+        limits = limit_requests(screened, config, window_us, hot_rows)
+    full = verdict_columns(limits, settings_of(config), policy_counts(policies))
     text, mask, size = F.col("text"), F.col("input_mask"), F.col("n_bytes")
     most = config.max_tokens_per_request
     validation: Column = F.when(F.col("n_violations").isNotNull(), F.struct(

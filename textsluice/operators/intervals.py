@@ -10,18 +10,22 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-#: Blocks that an ordered axis is cut into; also the rows of the only
-#: whole-table window, which carries values from block to block.
-BLOCKS = 200
-
-
-def in_blocks(df: DataFrame, order: str, blocks: int = BLOCKS) -> DataFrame:
-    """Adds ``_block``: which of about *blocks* stretches of equally many rows,
-    numbered along *order*, the row is in.  The cuts are approximate quantiles,
-    so sparse and clustered orders give even blocks; equal values share one."""
-    shares = ", ".join(f"{k / blocks}D" for k in range(1, blocks))
-    cuts = df.select(F.expr(f"percentile_approx(`{order}`, array({shares}), {10 * blocks})")).first()[0] if shares else None
-    splits = sorted({float(c) for c in cuts or []})
+#: Rows that a block of an ordered axis is meant to hold, and the most blocks
+#: there are, which is also the rows of the only whole-table window: the one
+#: that carries values from block to block.
+BLOCK_ROWS, MOST_BLOCKS = 250_000, 2_000
+
+
+def in_blocks(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
+    """Adds ``_block``: which stretch of equally many rows, numbered along
+    *order*, the row is in.  Without *blocks* there are as many as the rows
+    need.  The cuts are approximate quantiles, so sparse and clustered orders
+    give even blocks; equal values share one."""
+    fine = MOST_BLOCKS if blocks is None else blocks
+    shares = ", ".join(f"{k / fine}D" for k in range(1, fine)) or "0D"
+    n, cuts = df.agg(F.count("*"), F.expr(f"percentile_approx(`{order}`, array({shares}), {10 * fine})")).first()
+    wanted = fine if blocks is not None else min(fine, -(-n // BLOCK_ROWS))
+    splits = sorted({float(cuts[k * fine // wanted - 1]) for k in range(1, wanted)}) if cuts else []
     if not splits:
         return df.withColumn("_block", F.lit(0.0))
     return Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=order, outputCol="_block", handleInvalid="keep").transform(df)
@@ -112,7 +116,7 @@ def disjoint(intervals: DataFrame, start: str, stop: str) -> DataFrame:
     return cut.select(F.when(F.col(start) > least, F.col(start)).alias(start), F.when(F.col(stop) < most, F.col(stop)).alias(stop))
 
 
-def running_last(df: DataFrame, order: str, columns: list[str], *, blocks: int = BLOCKS) -> DataFrame:
+def running_last(df: DataFrame, order: str, columns: list[str], *, blocks: int | None = None) -> DataFrame:
     """Replaces each of *columns* by its last non-null value up to and
     including the row, in order of the unique column *order*.
 
@@ -132,6 +136,26 @@ def running_last(df: DataFrame, order: str, columns: list[str], *, blocks: int =
         *[F.coalesce(c, f"_carried_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def running_sums(df: DataFrame, order: str, columns: Sequence[str], *, keys: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+    """Replaces each of *columns* by its sum over the rows of the same *keys* up
+    to and including the row, in *order*.
+
+    As in :func:`running_last`, sums run inside blocks and the totals of the
+    blocks (one row per block and key) from block to block, so neither a long
+    log nor a frequent key meets in one task.  *df* is read three times: pass
+    narrow rows that are already written.  Keys must not be null; rows of equal
+    order get their sums in any order.
+    """
+    blocked = in_blocks(df, order, blocks)
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(c).alias(c) for c in columns])
+    carried = totals.select(*keys, "_block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_carried_{c}") for c in columns])
+    inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    summed = blocked.select("_block", *[F.sum(c).over(inside).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return summed.join(carried, [*keys, "_block"]).select(
+        *[(F.col(c) + F.col(f"_carried_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def running_total(df: DataFrame, keys: list[str], us: str, seq: str, *, amount: Column | None = None,
                   slot_us: int = 60_000_000, name: str = "running") -> DataFrame:
     """Adds the running sum of *amount* (default 1 per row) per *keys* in the

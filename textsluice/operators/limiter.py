@@ -248,7 +248,7 @@ def order_micros(df: DataFrame, ts: str) -> Column:
 def rate_limit(df: DataFrame, *, max_requests: int | Column = MAX_REQUESTS,
                window_us: int = WINDOW_US, user: str = "user_id", ts: str = "ts",
                seq: str = "seq", tenant: str | None = None, hot_rows: int = HOT_ROWS,
-               lookahead: int = LOOKAHEAD, carried: DataFrame | None = None) -> DataFrame:
+               lookahead: int = LOOKAHEAD, carried: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Adds ``limited`` and ``retry_after`` (whole seconds, null when admitted).
 
     Requests are taken in the order of (*ts*, *seq*) per user; a null user is
@@ -256,7 +256,9 @@ def rate_limit(df: DataFrame, *, max_requests: int | Column = MAX_REQUESTS,
     time; a row whose limit is null or below 1 has the default limit, and a null
     time counts as the epoch.  Pass narrow rows: every column of *df* goes through the shuffle.
     With *tenant* each (tenant, user) pair has its own quota.  *carried*
-    (quota_key, us) holds stamps admitted before these rows.
+    (quota_key, us) holds stamps admitted before these rows.  Users are counted
+    first to find the hot ones; *counted* holds the same requests where their
+    user (and tenant) columns are cheaper to read than *df*.
     """
     if not isinstance(max_requests, Column):
         if max_requests < 1:
@@ -270,7 +272,8 @@ def rate_limit(df: DataFrame, *, max_requests: int | Column = MAX_REQUESTS,
         .withColumn("_chunk", F.lit(0).cast("long"))
     )
     # at most rows / hot_rows users come back
-    hot = keyed.groupBy("_user").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).collect()
+    users = keyed if counted is None else counted.select(quota_key(user, tenant).alias("_user"))
+    hot = users.groupBy("_user").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).collect()
     seeds = None if carried is None else _seed_rows(carried.select(
         F.col("quota_key").alias("_user"), F.lit(0).cast("long").alias("_chunk"), F.array("us").alias("stamps")))
     if hot:
@@ -289,6 +292,24 @@ def rate_limit(df: DataFrame, *, max_requests: int | Column = MAX_REQUESTS,
     return _in_order(rows).mapInArrow(_decide(window_us, names), schema)
 
 
+def live_stamps(used: DataFrame, before: DataFrame | None, window_us: int, late_us: int | None = None) -> DataFrame:
+    """The stamps (quota_key, us) that later rows can meet, of those *used* just
+    now and those from *before*.
+
+    Within a window of a user's last admission there are at most as many as
+    their limit, and no older one can matter again.  With *late_us* rows are
+    never further than that behind the newest: users of whom all is older than
+    that and the window are left out, but the newest stamp of all stays.
+    """
+    stamps = used if before is None else used.unionByName(before)
+    last = stamps.groupBy("quota_key").agg(F.max("us").alias("last_us"))
+    alive = stamps.join(last, "quota_key").where(F.col("us") > F.col("last_us") - window_us)
+    if late_us is not None:
+        newest = stamps.agg(F.max("us")).first()[0]
+        alive = alive.where(F.col("us") >= F.lit(newest) - window_us - late_us)
+    return alive.select("quota_key", "us")
+
+
 def active_users(df: DataFrame, user: str = "user_id") -> DataFrame:
     """Users ever seen by the limiter, admitted or not, as one row."""
     who = F.coalesce(F.col(user).cast("string"), F.lit(ANONYMOUS))

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.dialect import to_java
 from ..functions.matching import exploded
-from ..functions.policy import policy_masks, policy_records
+from ..functions.policy import hit_places, policy_masks, policy_records
 from ..functions.rules import ACTIONS, POLICIES, POLICY_NEEDS, Policy
 from .config import next_start
 from .intervals import interval_join
+from .rule_index import pattern_hits
 
 SCHEMA = "ord long, name string, pattern string, action string, description string"
 
@@ -89,18 +90,6 @@ def policy_versions(table: DataFrame, changes: DataFrame) -> DataFrame:
             .select("from_seq", "to_seq", "name", "pattern", "java", "action", "description"))
 
 
-def policy_sets(versions: DataFrame) -> DataFrame:
-    """Versions to (from_seq, to_seq, policies): the whole set in force, in
-    policy order, for every stretch of seq without an effective change."""
-    points = versions.select("from_seq").union(
-        versions.where(F.col("to_seq").isNotNull()).select("to_seq")).distinct().withColumnRenamed("from_seq", "at")
-    fields = [c for c in versions.columns if c not in ("from_seq", "to_seq")]
-    held = interval_join(points, "at", versions.withColumn("version", F.col("from_seq")), how="inner")
-    grouped = held.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("version", *fields))).alias("policies"))
-    grouped = grouped.checkpoint()      # few and narrow; the next start is found from it twice
-    return next_start(points.join(grouped, "at", "left").withColumnRenamed("at", "from_seq"))
-
-
 def load_policies(table: DataFrame) -> list[Policy]:
     """The table's policies in order, to be written into the plan."""
     return [policy(r["name"], r["pattern"], r["action"], r["description"]) for r in table.orderBy("ord").collect()]
@@ -122,19 +111,32 @@ def policy_hits(df: DataFrame, *ids: str, text: str = "text", policies: Sequence
     return rows.select(*ids, "position", "p.policy", "p.action", "p.description")
 
 
-def pattern_hits(df: DataFrame, table: DataFrame, *ids: str, text: str = "text") -> DataFrame:
-    """(ids, pattern) for every distinct pattern of *table* that a text holds.
-    Patterns are literals, compiled once and run once per text where it is read."""
-    return policy_hits(df, *ids, text=text, policies=as_literals(table)).select(*ids, F.col("policy").alias("pattern"))
-
-
 def policy_hits_from_table(df: DataFrame, table: DataFrame, *ids: str, text: str = "text") -> DataFrame:
     """The same hits (ids, policy, action, description) with the policies kept
-    as data: what joins the table, by pattern, is hits and not texts."""
+    as data, however many there are: texts meet patterns through an index of
+    literals, and what joins the table, by pattern, is hits."""
     rules = table.select("pattern", F.col("name").alias("policy"), "action", "description")
     return pattern_hits(df, table, *ids, text=text).join(rules, "pattern").select(*ids, "policy", "action", "description")
 
 
+def hits_in_force(rows: DataFrame, versions: DataFrame, known: Sequence[Policy], *, seq: str = "seq", masks: str = "_masks",
+                  names: str = "_names") -> DataFrame:
+    """(seq, hits): for every row with a hit, the policies that were in force at
+    its unique *seq* and fire, in policy order.
+
+    *masks* are the hits of the patterns *known*, *names* the policies asked for
+    (null: all).  Hits meet the versions of their pattern, so what is joined
+    grows with hits and changes; no set of policies is copied per change.
+    """
+    places = versions.sparkSession.createDataFrame([(p.pattern, i) for i, p in enumerate(known)], "pattern string, _at int")
+    dated = versions.join(F.broadcast(places), "pattern").select(       # patterns are literals of the plan anyway
+        "from_seq", "to_seq", "_at", F.col("from_seq").alias("version"), "name", "action", "description")
+    fired = rows.select(F.col(seq).alias("seq"), F.col(names).alias("_asked"), F.explode(hit_places(F.col(masks), len(known))).alias("_at"))
+    held = interval_join(fired, "seq", dated, how="inner", on=("_at",)).where(F.col("_asked").isNull() | F.array_contains("_asked", F.col("name")))
+    record = F.struct("version", F.col("name").alias("policy"), "action", "description")
+    return held.groupBy("seq").agg(F.transform(F.sort_array(F.collect_list(record)), lambda r: r.dropFields("version")).alias("hits"))
+
+
 def version_hits(df: DataFrame, versions: DataFrame, *ids: str, seq: str = "seq", text: str = "text",
                  names: str | None = None) -> DataFrame:
     """Hits of policy versions in force at each row's *seq*, the versions kept

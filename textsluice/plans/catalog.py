@@ -20,12 +20,12 @@ from ..operators.policies import (apply_changes, policy_hits, policy_hits_from_t
                                   policy_versions, version_hits)
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
-from ..sources.calls import parse_calls, tool_calls
+from ..sources.calls import parse_calls, rejected_lines, tool_calls
 from ..sources.tables import spread, table
-from ..streaming.gate import stream_gate, stream_rollup
+from ..streaming.gate import read_committed, read_rollup, second_table, stream_gate, stream_rollup, write_rollup, write_with_handler
 from ..streaming.limiter import limit_batches, stream_rate_limit
 from .payloads import OUTPUT_PAYLOADS, REQUEST_PAYLOADS, RULE_PAYLOADS, with_payload
-from .replay import Replay, replay
+from .replay import Replay, replay, replay_batches
 from .reports import redaction_report, rule_report, validation_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,7 @@ CHANGE_PATTERNS = [r"(?i)pass\w+", r"\d{4}", "(", r"a(?=b)", r"[.][.]/", "jail",
 CHANGE_ACTIONS = ["block", "warn", "redact", "deny"]
 REPLAY_PATTERNS = [r"(?i)topsecret", "jail", r"(?=x)", r"(?i);\s*ls\b", "[", "hunter", ""]
 REPLAY_WINDOW_US = 21_600_000_000
+ASKED_TYPES = [None, "INPUT_BLOCKED", "OUTPUT_FILTERED", "RATE_LIMIT_EXCEEDED", "UNHEARD", "POLICY_VIOLATION"]
 
 
 def _tables(spark: SparkSession) -> None:
@@ -107,6 +108,19 @@ def requests(spark, sf) -> DataFrame:
     return as_requests(events(spark, sf), spark, sf)
 
 
+def request_keys(spark, sf) -> DataFrame:
+    """The same requests without their texts."""
+    return events(spark, sf).select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), _user().alias("user_id"))
+
+
+def verdicts(spark, sf) -> DataFrame:
+    return gate(requests(spark, sf), GATE, ALL_POLICIES, window_us=DAY_US, keys=request_keys(spark, sf))
+
+
+def detailed(spark, sf) -> DataFrame:
+    return detailed_gate(requests(spark, sf), GATE, ALL_POLICIES, window_us=DAY_US, keys=request_keys(spark, sf))
+
+
 def outputs(spark, sf) -> DataFrame:
     """Assistant turns as outputs, numbered below the requests' range."""
     return spread(table(spark, sf, "conversations").where("role = 'assistant'")).select(
@@ -121,8 +135,7 @@ def limited_events(spark, sf, **options) -> DataFrame:
 
 
 def audit_log(spark, sf) -> DataFrame:
-    verdicts = gate(requests(spark, sf), GATE, ALL_POLICIES, window_us=DAY_US)
-    return audit.events_of_verdicts(verdicts).unionByName(
+    return audit.events_of_verdicts(verdicts(spark, sf)).unionByName(
         audit.events_of_outputs(redact(outputs(spark, sf))))
 
 
@@ -378,17 +391,15 @@ def _run_stream(spark, stream: DataFrame) -> DataFrame:
 
 # -- gate ----------------------------------------------------------------------
 def g_verdict(spark, sf):
-    return gate(requests(spark, sf), GATE, ALL_POLICIES, window_us=DAY_US).drop("ts")
+    return verdicts(spark, sf).drop("ts")
 
 
 def g_codes(spark, sf):
-    verdicts = gate(requests(spark, sf), GATE, ALL_POLICIES, window_us=DAY_US)
-    return verdicts.groupBy(F.coalesce("code", F.lit("ALLOWED")).alias("code"), "allowed").agg(F.count("*").alias("requests"))
+    return verdicts(spark, sf).groupBy(F.coalesce("code", F.lit("ALLOWED")).alias("code"), "allowed").agg(F.count("*").alias("requests"))
 
 
 def g_detail(spark, sf):
-    d = detailed_gate(requests(spark, sf), GATE, ALL_POLICIES, window_us=DAY_US)
-    return d.select("seq", "code", "validation.valid", "validation.sanitized",
+    return detailed(spark, sf).select("seq", "code", "validation.valid", "validation.sanitized",
                     F.size("validation.violations").cast("long").alias("listed_violations"),
                     F.col("policy.allowed").alias("policy_allowed"),
                     F.array_join(F.transform("policy.violations", lambda r: r["policy"]), ",").alias("policy_violations"),
@@ -423,6 +434,13 @@ def a_retention(spark, sf):
     return audit.retained(audit_log(spark, sf), KEEP).select("seq", "event_type", "details")
 
 
+def a_retention_days(spark, sf):
+    """The same from a log partitioned by day, of which only the newest days are read."""
+    path = _scratch(spark)
+    sinks.append_audit(audit_log(spark, sf), path)
+    return sinks.newest_events(spark, path, KEEP).select("seq", "event_type", "details")
+
+
 def a_logs_newest(spark, sf):
     return audit.get_logs(audit_log(spark, sf)).select("seq", "event_type", "details", "user_id")
 
@@ -452,18 +470,19 @@ def a_rollup_users(spark, sf):
     return rolled.select(F.unix_micros("window_start").alias("window_us"), "user_id", "events", "blocked", "rate_limit_hits")
 
 
-def a_stream(spark, sf):
-    """Windowed counts of an audit stream, with the windows that are still open
-    when the input ends."""
-    stream = _event_stream(spark, sf).select(
+def _typed_stream(spark, sf) -> DataFrame:
+    return _event_stream(spark, sf).select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "error", "INPUT_BLOCKED").when(F.col("event_type") == "view", "RATE_LIMIT_EXCEEDED")
         .otherwise("INPUT_PROCESSED").alias("event_type"))
+
+
+def a_stream(spark, sf):
+    """Windowed counts of an audit stream, with the windows that are still open
+    when the input ends."""
     out = _scratch(spark)
-    rolled = stream_rollup(stream, "event_type")
-    (rolled.writeStream.outputMode("complete").option("checkpointLocation", out + "/state").trigger(availableNow=True)
-     .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out + "/data")).start().awaitTermination())
-    return _flat_rollup(spark.read.schema(rolled.schema).parquet(out + "/data"))
+    write_rollup(stream_rollup(_typed_stream(spark, sf), "event_type"), out + "/data", out + "/state").awaitTermination()
+    return _flat_rollup(read_rollup(spark, out + "/data", "event_type"))
 
 
 # -- configuration and replay --------------------------------------------------
@@ -516,6 +535,24 @@ def call_lines(spark, sf) -> DataFrame:
     return ev.select(n.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), value.alias("value"))
 
 
+def asked_lines(spark, sf) -> DataFrame:
+    """The same log with questions between its calls: get_stats after every
+    ninth event and get_audit_logs, with types and limits of all kinds, after
+    another ninth.  Calls have even numbers, questions the odd one after."""
+    n = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(t) for t in ASKED_TYPES]), (n % len(ASKED_TYPES) + 1).cast("int"))
+    limit = F.when(n % 11 == 0, '"x"').when(n % 11 < 9, (n % 7 * 10).cast("string"))
+
+    def line(tool: str, arguments: Column) -> Column:
+        return F.concat(F.lit(f'{{"jsonrpc":"2.0","method":"tools/call","params":{{"name":"{tool}","arguments":{{'), arguments, F.lit("}}}"))
+
+    logs = F.concat_ws(",", F.concat(F.lit('"event_type":"'), kind, F.lit('"')), F.concat(F.lit('"limit":'), limit))
+    asks = events(spark, sf).where(n % 9 % 3 == 1).where(n % 9 < 5).select(
+        (2 * n + 1).alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+        F.when(n % 9 == 1, line("get_stats", F.lit(""))).otherwise(line("get_audit_logs", logs)).alias("value"))
+    return call_lines(spark, sf).withColumn("seq", 2 * F.col("seq")).unionByName(asks)
+
+
 def calls(spark, sf) -> DataFrame:
     return tool_calls(parse_calls(call_lines(spark, sf)))
 
@@ -531,11 +568,26 @@ def _replay(spark, sf) -> Replay:
 
 
 def c_replay(spark, sf):
-    return _replay(spark, sf).verdicts.select(
+    return _replayed(_replay(spark, sf).verdicts)
+
+
+def _replayed(verdicts: DataFrame) -> DataFrame:
+    return verdicts.select(
         "seq", "user_id", "allowed", "code", "reason", "n_violations", "n_policy_violations", "n_warnings",
         F.array_join(F.transform("policy_hits", lambda r: r["policy"]), ",").alias("policies"))
 
 
+def c_replay_stream(spark, sf):
+    """The same log arriving in three parts, each replayed from what the last one left."""
+    out, lines, files = _scratch(spark), call_lines(spark, sf), 8
+    third, two = lines.select(F.percentile_approx("seq", [1 / 3, 2 / 3])).first()[0]
+    for part in (lines.where(F.col("seq") <= third), lines.where((F.col("seq") > third) & (F.col("seq") <= two)), lines.where(F.col("seq") > two)):
+        part.repartition(files).write.mode("append").parquet(out + "/lines")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(out + "/lines")
+    replay_batches(stream, out + "/run", out + "/offsets", window_us=REPLAY_WINDOW_US).awaitTermination()
+    return _replayed(spark.read.parquet(out + "/run/verdicts"))
+
+
 def c_replay_checks(spark, sf):
     return _replay(spark, sf).checks.select(
         "seq", "allowed", "n_policy_violations", "n_warnings",
@@ -550,6 +602,20 @@ def c_replay_audit(spark, sf):
     return _replay(spark, sf).audit.select("seq", "event_type", "details", "user_id")
 
 
+def _asked(spark, sf) -> Replay:
+    return replay(tool_calls(parse_calls(asked_lines(spark, sf))), window_us=REPLAY_WINDOW_US, keep=KEEP)
+
+
+def c_replay_stats(spark, sf):
+    """The answer of every get_stats call in the log."""
+    return _asked(spark, sf).stats
+
+
+def c_replay_logs(spark, sf):
+    """The answer of every get_audit_logs call in the log, a row per event."""
+    return _asked(spark, sf).logs.select("ask", "position", "seq", "event_type", "details", "user_id")
+
+
 # -- sinks ---------------------------------------------------------------------
 def s_audit_sink(spark, sf):
     path = _scratch(spark)
@@ -557,9 +623,24 @@ def s_audit_sink(spark, sf):
     return _flat_audit(sinks.read_audit(spark, path))
 
 
+def s_rejected_lines(spark, sf):
+    """Unusable lines of the call log and why."""
+    return rejected_lines(call_lines(spark, sf)).select("seq", "reason")
+
+
 def s_verdict_json(spark, sf):
-    d = detailed_gate(requests(spark, sf), GATE, ALL_POLICIES, window_us=DAY_US)
-    return d.select("seq", sinks.verdict_json().alias("verdict"))
+    return detailed(spark, sf).select("seq", sinks.verdict_json().alias("verdict"))
+
+
+def d_handler(spark, sf):
+    """An event stream written to a log, and its blocked events to a second
+    table by a handler, both read as far as they are committed."""
+    out = _scratch(spark)
+    alerts = second_table(out + "/alerts", lambda batch: batch.where(audit.is_blocked(F.col("event_type"))))
+    write_with_handler(_typed_stream(spark, sf), out + "/log", alerts, out + "/offsets").awaitTermination()
+    log, second = read_committed(spark, out + "/log"), read_committed(spark, out + "/alerts", out + "/log")
+    return (log.select(F.lit("log").alias("sink"), "seq", "event_type")
+            .unionByName(second.select(F.lit("alerts").alias("sink"), "seq", "event_type")))
 
 
 # -- access rules and other documented extras ----------------------------------
@@ -687,6 +768,7 @@ QUERIES: dict[str, Query] = {
     "g_stream": g_stream,
     "a_events": a_events,
     "a_retention": a_retention,
+    "a_retention_days": a_retention_days,
     "a_logs_newest": a_logs_newest,
     "a_logs_by_type": a_logs_by_type,
     "a_totals": a_totals,
@@ -696,12 +778,16 @@ QUERIES: dict[str, Query] = {
     "a_stream": a_stream,
     "c_history": c_history,
     "c_replay": c_replay,
+    "c_replay_stream": c_replay_stream,
     "c_replay_checks": c_replay_checks,
     "c_replay_outputs": c_replay_outputs,
     "c_replay_audit": c_replay_audit,
+    "c_replay_stats": c_replay_stats,
+    "c_replay_logs": c_replay_logs,
     "s_call_log": s_call_log,
     "s_audit_sink": s_audit_sink,
     "s_verdict_json": s_verdict_json,
+    "s_rejected_lines": s_rejected_lines,
     "d_user_time": d_user_time,
     "d_block_rate": d_block_rate,
     "d_allowlist": d_allowlist,
@@ -712,4 +798,5 @@ QUERIES: dict[str, Query] = {
     "d_custom_policy": d_custom_policy,
     "d_custom_rules": d_custom_rules,
     "d_rotation": d_rotation,
+    "d_handler": d_handler,
 }

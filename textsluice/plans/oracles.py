@@ -346,6 +346,7 @@ def _window(us: str, days: int = 1) -> str:
 A = {
     "a_events": f"{AUDIT} {_EVENTS}",
     "a_retention": f"{AUDIT} SELECT seq, event_type, details FROM {_KEPT}",
+    "a_retention_days": f"{AUDIT} SELECT seq, event_type, details FROM {_KEPT}",
     "a_logs_newest": f"{AUDIT} {_PAGE} audit ORDER BY seq DESC LIMIT 50",
     "a_logs_by_type": f"{AUDIT} {_PAGE} {_KEPT} WHERE event_type = 'INPUT_BLOCKED' ORDER BY seq DESC LIMIT 20",
     "a_totals": f"{AUDIT} SELECT count(*) AS total_requests, count(*) FILTER (WHERE blocked) AS blocked_requests FROM audit",
@@ -455,10 +456,36 @@ C = {
                     WHERE tool = 'filter_output' AND filters) SELECT seq, event_type, details, user_id FROM log""",
 }
 
+C["c_replay_stream"] = C["c_replay"]
+_SETTINGS = """settings AS (SELECT seq,
+        coalesce(last_value(CASE WHEN max_requests_per_minute >= 1 THEN max_requests_per_minute END IGNORE NULLS) OVER w, 60) AS cap,
+        coalesce(last_value(max_tokens IGNORE NULLS) OVER w, 100000) AS tokens, coalesce(last_value(enable_rate_limiting IGNORE NULLS) OVER w, true) AS limits,
+        coalesce(last_value(judges IGNORE NULLS) OVER w, true) AS judges, coalesce(last_value(filters IGNORE NULLS) OVER w, true) AS filters
+        FROM calls WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+C["c_replay_stats"] = f"""{_REPLAYED}, {_SETTINGS},
+    log AS (SELECT seq, code IS NOT NULL AS blocked FROM verdicts UNION ALL SELECT seq, false FROM governed WHERE tool = 'filter_output' AND filters),
+    firsts AS (SELECT user_id, min(seq) AS first FROM checked WHERE limits GROUP BY user_id),
+    asks AS (SELECT event_id AS n FROM events WHERE event_id % 9 = 1)
+    SELECT 2 * n + 1 AS seq, (SELECT count(*) FROM firsts WHERE first <= n) AS active_users, (SELECT count(*) FROM log WHERE log.seq <= n) AS total_requests,
+           (SELECT count(*) FROM log WHERE log.seq <= n AND blocked) AS blocked_requests, true AS enable_input_validation,
+           coalesce(s.filters, true) AS enable_output_filtering, coalesce(s.judges, true) AS enable_policy_enforcement,
+           coalesce(s.limits, true) AS enable_rate_limiting, coalesce(s.cap, 60) AS max_requests_per_minute, coalesce(s.tokens, 100000) AS max_tokens_per_request
+    FROM asks ASOF LEFT JOIN settings s ON asks.n >= s.seq"""
+C["c_replay_logs"] = f"""{_REPLAYED}, {_FILTERED}, log AS ({_request_events('verdicts')}
+    UNION ALL SELECT seq, 'OUTPUT_FILTERED', us, len(found) || ' redactions', 'system' FROM red WHERE tool = 'filter_output' AND filters),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM log),
+    asks AS (SELECT event_id AS n, ([NULL, {', '.join(literal(t) for t in c.ASKED_TYPES[1:])}])[event_id % {len(c.ASKED_TYPES)} + 1] AS kind,
+                    CASE WHEN event_id % 11 BETWEEN 1 AND 8 THEN event_id % 7 * 10 ELSE 50 END AS most,
+                    (SELECT count(*) FROM log WHERE seq <= event_id) AS upto FROM events WHERE event_id % 9 = 4),
+    found AS (SELECT n, most, ranked.*, row_number() OVER (PARTITION BY n ORDER BY r DESC) - 1 AS position
+              FROM asks JOIN ranked ON r <= upto AND r > upto - {c.KEEP} AND (kind IS NULL OR event_type = kind))
+    SELECT 2 * n + 1 AS ask, position, 2 * seq AS seq, event_type, details, user_id FROM found WHERE position < most"""
+
 S = {
     "s_call_log": f"""WITH {CALLS} SELECT seq, tool, known, text, user_id, array_to_string(names, ',') AS policy_names,
                     50::BIGINT AS "limit", name, pattern, action, max_requests_per_minute, enable_rate_limiting,
                     NULL::BOOLEAN AS enable_input_validation FROM calls""",
+    "s_rejected_lines": "SELECT event_id AS seq, CASE WHEN event_id % 101 = 2 THEN 'json' ELSE 'shape' END AS reason FROM events WHERE event_id % 101 IN (2, 3)",
     "s_audit_sink": f"{AUDIT} {_EVENTS}",
     "s_verdict_json": f"""{GATED}, parts AS (
             SELECT seq, code, 'gr_' || md5('request:' || seq) AS request_id, {_REASON} AS reason,
@@ -504,6 +531,10 @@ D["d_custom_rules"] = f"""WITH {PLANTED} SELECT doc_id, ({_N_OWN}) = 0 AND NOT {
     {_N_OWN} + ({_LONG})::BIGINT AS n_violations FROM planted"""
 D["d_rotation"] = f"{AUDIT} {_EVENTS} WHERE us >= epoch_us(TIMESTAMP '{c.ROTATE_BEFORE}')"
 
+D["d_handler"] = """WITH l AS (SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'INPUT_BLOCKED' WHEN 'view' THEN 'RATE_LIMIT_EXCEEDED'
+                                ELSE 'INPUT_PROCESSED' END AS event_type FROM events)
+    SELECT 'log' AS sink, * FROM l UNION ALL SELECT 'alerts', * FROM l WHERE event_type <> 'INPUT_PROCESSED'"""
+
 _PATTERNS = [*c.CHANGE_PATTERNS, *(p.pattern for p in POLICIES)]
 _FOUND = " UNION ALL ".join(f"SELECT seq, {literal(p)} AS pattern FROM req WHERE regexp_matches(text, {literal(p)})"
                             for p in _PATTERNS if p not in _BAD)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.matching import computed_once
 from ..functions.rules import ANONYMOUS, AUDIT_PAGE
@@ -64,23 +64,44 @@ def _one_value(text: Column) -> Column:
     return F.when((F.size(items) == 2) & (last == digest), items[0])
 
 
-def parse_calls(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Keeps the other columns of *lines* (such as seq and ts) and adds
-    ``method`` and the variant ``call``.  Blank lines, lines that are not UTF-8
-    or not one JSON value, and lines without string ``jsonrpc`` and ``method``
-    are dropped.  Of a repeated key the last value counts; a text may have any
-    length."""
+#: Why a line is unusable: not UTF-8, not one JSON value, or without string
+#: ``jsonrpc`` and ``method``.
+REASONS = ("encoding", "json", "shape")
+
+
+def _judged(lines: DataFrame, value: str) -> DataFrame:
+    """Lines that are not blank with ``call``, ``method`` and ``reason``, which
+    is null for a call."""
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text, call = F.col(value), F.col("call")
-    filled = lines.where(F.is_valid_utf8(text) & (F.trim(text) != ""))
+    clear = F.is_valid_utf8(text)
+    filled = lines.where(F.trim(text) != "")
     return (
-        computed_once(filled, "call", _one_value(text))
+        computed_once(filled, "call", F.when(clear, _one_value(text)))
         .withColumn("method", _string(call, "$.method"))
-        .where(_string(call, "$.jsonrpc").isNotNull() & F.col("method").isNotNull())
-        .drop(value)
+        .withColumn("reason", F.when(~clear, REASONS[0]).when(call.isNull(), REASONS[1])
+                    .when(_string(call, "$.jsonrpc").isNull() | F.col("method").isNull(), REASONS[2]))
     )
 
 
+def parse_calls(lines: DataFrame, value: str = "value", observation: Observation | None = None) -> DataFrame:
+    """Keeps the other columns of *lines* (such as seq and ts) and adds
+    ``method`` and the variant ``call``.  Blank lines are skipped and unusable
+    ones (see ``REASONS``) dropped; an *observation* gets the number of usable
+    lines (``calls``) and of those dropped per reason, on the way.  Of a repeated
+    key the last value counts; a text may have any length."""
+    judged, reason = _judged(lines, value), F.col("reason")
+    if observation is not None:
+        judged = judged.observe(observation, F.count_if(reason.isNull()).alias("calls"), *[F.count_if(reason == r).alias(r) for r in REASONS])
+    return judged.where(reason.isNull()).drop(value, "reason")
+
+
+def rejected_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The unusable lines with all columns of *lines* and the ``reason``; a side
+    table to warn by.  Bytes that are not UTF-8 stay as they are."""
+    return _judged(lines, value).where(F.col("reason").isNotNull()).select(*lines.columns, "reason")
+
+
 def tool_calls(parsed: DataFrame) -> DataFrame:
     """Tool calls with every argument typed and defaulted.  ``known`` is false
     for tool names that do nothing."""
