@@ -35,6 +35,15 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of ``kept`` tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bytes_of(name: str) -> Column:
     """The UTF-8 bytes of a text column; none for null."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

@@ -24,6 +24,8 @@ from textsluice.session import ensure_checkpoint_dir
 TOP = 50
 #: Documents and postings of a chunk, of which one longer document may hold more.
 CHUNK_DOCS, CHUNK_POSTINGS = 1024, 1 << 17
+#: Bytes of terms and counts in a piece of a stratum.
+PIECE_BYTES = 1 << 22
 #: Queries searched for at a time, which bounds what tasks are sent.
 BLOCK = 256
 #: Cells of the table of scores that is filled at a time.
@@ -111,14 +113,18 @@ class Index:
 def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """The index of all documents with a term.
 
-    Rows are dealt out by ranges of (m, row), so a stratum that holds much of
-    the table spreads over tasks.  Rows with null or repeated ids are documents
-    of their own.
+    A stratum is dealt out in pieces of at most about ``PIECE_BYTES``, so neither
+    one that holds much of the table nor those of long documents make a large
+    task.  Rows with null or repeated ids are documents of their own.
     """
     rows = kept(term_counts(docs, doc_id, text).where("n > 0"), "terms")
     n, length = rows.agg(F.count("*"), F.sum("n")).first()
     m = F.expr(f"50 + (50L * n * {n}L) div {length or 1}L")
-    dealt = rows.withColumn("m", m).repartitionByRange("m", "row").sortWithinPartitions("m", "row").select("m", "doc_id", "terms", "tfs")
+    rows = rows.withColumn("m", m)
+    size = F.octet_length("terms").cast("long") + F.octet_length("tfs")
+    pieces = rows.groupBy("m").agg(F.ceil(F.sum(size) / PIECE_BYTES).alias("pieces"))
+    dealt = (rows.join(pieces, "m").withColumn("piece", F.pmod(F.xxhash64("row"), "pieces")).repartition("m", "piece")
+             .sortWithinPartitions("m", "piece", "row").select("m", "doc_id", "terms", "tfs"))
     return Index(kept(map_in_arrow(dealt, _chunks, INDEX), "strata"), n)
 
 
