@@ -33,6 +33,16 @@ GLOBAL = ("shard long, doc_id array<bigint>, part array<string>, flags array<int
 FIGURES = "doc_id long, part string, digest binary, flags int, n_words long, n_distinct long, salt int"
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """32-bit numbers with their lowest bytes first, then the next ones: the upper
+    bytes of small numbers are runs of zeros, which files and shuffles squeeze."""
+    return np.ascontiguousarray(a.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 class _Terms(dict):
     """Numbers words in the order they come."""
 
@@ -71,7 +81,9 @@ class _Shard:
     def row(self, shard: int) -> pa.RecordBatch:
         columns = {"doc_id": pa.array(self.doc_id, pa.int64()), "part": pa.array(self.part, pa.string()), "flags": pa.array(self.flags, pa.int32()),
                    "digest": pa.array(self.digest, pa.binary()), "row_stop": pa.array(np.concatenate(self.row_stop)),
-                   "data": pa.array(np.concatenate(self.data)), "indices": pa.array(np.concatenate(self.indices))}
+                   "data": pa.array([_planes(np.concatenate(self.data))], pa.binary()),
+                   # a row's indices rise, so their steps are small
+                   "indices": pa.array([_planes(np.diff(np.concatenate(self.indices), prepend=0))], pa.binary())}
         body = as_bytes(pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(a)], a) for a in columns.values()], names=list(columns)))
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([body], pa.binary()), pa.array([list(self.terms)], pa.list_(pa.string()))],
                                           names=["shard", "body", "words"])
@@ -113,7 +125,8 @@ def _renumbered(shard: pa.Table, ids: pa.Table) -> dict[str, pa.Array]:
     by_at[ids.column("at").to_numpy()] = ids.column("id").to_numpy()
     body = from_bytes(shard.column("body")[0].as_buffer())
     columns = {name: body.column(name).flatten() for name in body.schema.names}
-    return columns | {"indices": pa.array(by_at[columns["indices"].to_numpy()])}
+    indices = np.cumsum(_from_planes(columns["indices"][0].as_py()), dtype=np.int64)
+    return columns | {"data": pa.array(_from_planes(columns["data"][0].as_py())), "indices": pa.array(by_at[indices])}
 
 
 def _shard_row(shard: pa.Table, ids: pa.Table) -> pa.Table:
