@@ -41,14 +41,15 @@ def _has(action: str):
 class Replay:
     """Results of a replayed call log, each planned when first asked for.
 
-    Setting and policy changes, few against the calls, are taken out once and
-    become intervals of seq.  Texts are scanned once per kind of call, where
-    they are read, and only masks, counts and hit records travel on.
+    Typed calls are written once.  Setting and policy changes, few against the
+    calls, become intervals of seq.  Texts are scanned once per kind of call,
+    where they are read, and only masks, counts and hit records travel on.
     """
 
     def __init__(self, calls: DataFrame, window_us: int, defaults: Config, policies, hot_rows: int, keep: int, carried: DataFrame | None = None):
         spark = calls.sparkSession
         ensure_checkpoint_dir(spark)
+        calls = calls.checkpoint()      # every result starts here: the log is read and parsed once
         self._window_us, self._hot_rows, self._keep, self._carried, self._defaults = window_us, hot_rows, keep, carried, defaults
         self._calls = calls.drop(*SWITCHES, *LIMITS)
         control = calls.where("tool in ('update_config', 'add_policy', 'remove_policy')").select(
@@ -174,7 +175,7 @@ def replay_batches(lines: DataFrame, path: str, checkpoint: str, *, window_us: i
             config = Config(**spark.read.parquet(f"{old}/settings").first().asDict())
             rules = load_policies(spark.read.schema(SCHEMA).parquet(f"{old}/policies"))
             before = spark.read.schema("quota_key string, us long").parquet(f"{old}/stamps")
-        run = Replay(tool_calls(parse_calls(batch)).checkpoint(), window_us, config, rules, hot_rows, AUDIT_RETENTION, before)
+        run = Replay(tool_calls(parse_calls(batch)), window_us, config, rules, hot_rows, AUDIT_RETENTION, before)
         key = F.when(F.col("enable_rate_limiting"), F.concat(F.lit("u:"), "user_id")).alias("quota_key")
         parts = {"verdicts": run._decided.select(*VERDICT, run._listed, key), "checks": run.checks, "outputs": run.outputs}
         for name, rows in parts.items():
