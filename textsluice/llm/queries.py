@@ -44,7 +44,7 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     """Pages archived as WARC files, read back and assembled to captures."""
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf, "pages"), path)
-    found = kept(warc.resolved(warc.read_captures(spark, path)), "captures")
+    found = kept(warc.resolved(warc.read_captures(spark, path, payloads=False)), "captures")
     first = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("lead"),
                                                            F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
     again = found.where("record_type = 'revisit'").join(first, "refers_to", "left").select(

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textsluice.llm.common import marked
+from textsluice.llm.common import kept, marked
 
 #: Payloads of fewer bytes are stored again rather than revisited.
 LEAST_REVISIT = 100
-#: Records in a file at most, so that a file is read within a task's memory.
-FILE_RECORDS = 6_000
+#: Records in a file at most.  A reader holds a file as it is stored and one
+#: record of it unzipped.
+FILE_RECORDS = 3_000
+#: Bytes unzipped at a time.
+PIECE = 1 << 20
 #: Fixed value: date of records made from tables that carry none.
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
@@ -97,41 +101,57 @@ def write_warc(pages: DataFrame, path: str) -> None:
      .option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path))
 
 
-def _plain(content: bytes) -> bytes:
-    """A file's bytes without gzip, of one member or many."""
+def _plain(content: bytes) -> Iterator[bytes]:
+    """A file's bytes without gzip, of one member or many, a piece at a time."""
     if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
+        yield content
+        return
+    while content[:2] == b"\x1f\x8b":
+        member, left, piece = zlib.decompressobj(31), content, b"first"
+        while not member.eof and (piece or left):
+            piece = member.decompress(left, PIECE)
+            left = member.unconsumed_tail
+            yield piece
         content = member.unused_data if member.eof else b""
-    return b"".join(out)
 
 
-def records_in(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
-    """Headers (by lower-case name) and block of every record, by its length."""
-    at = data.find(b"WARC/")
-    while 0 <= at < len(data):
-        end = data.find(b"\r\n\r\n", at)
+def records_in(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """Headers (by lower-case name) and block of every record of a file, gzip or
+    plain, by its length.  The file is unzipped as far as the record reaches."""
+    pieces, held = _plain(content), bytearray()
+
+    def until(mark: bytes, at: int) -> int:
+        while (found := held.find(mark, at)) < 0:
+            at = max(at, len(held) - len(mark) + 1)
+            if (piece := next(pieces, None)) is None:
+                return -1
+            held.extend(piece)
+        return found
+
+    while (at := until(b"WARC/", 0)) >= 0:
+        del held[:at]
+        end = until(b"\r\n\r\n", 0)
         if end < 0:
             return
         headers: dict[str, list[str]] = {}
-        for line in data[at:end].decode("utf-8", "replace").split(CRLF)[1:]:
+        for line in held[:end].decode("utf-8", "replace").split(CRLF)[1:]:
             name, _, value = line.partition(":")
             headers.setdefault(name.strip().lower(), []).append(value.strip())
-        length = int(headers.get("content-length", ["0"])[0])
-        yield headers, data[end + 4:end + 4 + length]
-        at = data.find(b"WARC/", end + 4 + length)
+        stop = end + 4 + int(headers.get("content-length", ["0"])[0])
+        while len(held) < stop and (piece := next(pieces, None)) is not None:
+            held.extend(piece)
+        yield headers, bytes(held[end + 4:stop])
+        del held[:stop]
 
 
 RECORD = ("record_id string, record_type string, concurrent_to array<string>, refers_to string, target_uri string, date string, "
-          "payload_digest string, payload binary")
+          "payload_digest string, payload_bytes long, payload_sha256 string, payload binary")
+ANSWERS = ("response", "revisit", "resource", "conversion")
 
 
-def _reader(kinds: tuple[str, ...], payloads: bool):
+def _reader(kinds: tuple[str, ...], payloads: tuple[str, ...]):
     names = [f.split()[0] for f in RECORD.split(", ")]
-    types = [pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 4, pa.binary()]
+    types = [pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch() -> pa.RecordBatch:
@@ -140,16 +160,18 @@ def _reader(kinds: tuple[str, ...], payloads: bool):
         for files in batches:
             for k in range(files.num_rows):
                 rows, size = [], 0
-                for headers, block in records_in(_plain(files.column(0)[k].as_py())):
+                for headers, block in records_in(files.column(0)[k].as_py()):
                     one = lambda name: headers.get(name, [None])[0]  # noqa: B023, E731
-                    if one("warc-type") not in kinds:
+                    kind = one("warc-type")
+                    if kind not in kinds:
                         continue
                     http = (one("content-type") or "").startswith("application/http")
                     body = block.partition(b"\r\n\r\n")[2] if http else block
-                    rows.append((one("warc-record-id"), one("warc-type"), headers.get("warc-concurrent-to", []), one("warc-refers-to"),
-                                 one("warc-target-uri"), one("warc-date"), one("warc-payload-digest"), body if payloads else None))
-                    size += len(body)
-                    if len(rows) >= 2_000 or size > 1 << 24:
+                    kept_body = body if kind in payloads else None
+                    rows.append((one("warc-record-id"), kind, headers.get("warc-concurrent-to", []), one("warc-refers-to"),
+                                 one("warc-target-uri"), one("warc-date"), one("warc-payload-digest"), len(body), hashlib.sha256(body).hexdigest(), kept_body))
+                    size += len(kept_body or b"")
+                    if len(rows) >= 2_000 or size > 1 << 22:
                         yield batch()
                         rows, size = [], 0
                 if rows:
@@ -157,30 +179,30 @@ def _reader(kinds: tuple[str, ...], payloads: bool):
     return run
 
 
-def read_records(spark: SparkSession, path: str, kinds: tuple[str, ...], payloads: bool = True) -> DataFrame:
-    """Records of the given types, a row each, with HTTP heads taken off."""
+def read_records(spark: SparkSession, path: str, kinds: tuple[str, ...], payloads: tuple[str, ...] = ANSWERS + ("request", "metadata")) -> DataFrame:
+    """Records of the given types, a row each, with HTTP heads taken off; size
+    and digest of all payloads, and the payloads of the types ``payloads``."""
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_reader(kinds, payloads), RECORD)
 
 
-ANSWERS = ("response", "revisit", "resource", "conversion")
-
-
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One nested row per capture: the response, revisit or resource with its
     request and its metadata records.
 
     Records name each other through WARC-Concurrent-To in either direction, and
     metadata may name the request instead of the response; both are followed.
     A capture without request or metadata has null and an empty list; a request
-    or metadata record that names no capture belongs to none.  Only links are
-    shuffled twice; a payload is shuffled once.
+    or metadata record that names no capture belongs to none.  The archive is
+    read once for all but the payloads, with their size and digest, and once more
+    for these, which are shuffled once; without ``payloads`` they are null.
     """
-    main = read_records(spark, path, ANSWERS)
-    side = read_records(spark, path, ("request", "metadata"))
+    links = kept(read_records(spark, path, ANSWERS + ("request", "metadata"), ("request", "metadata")), "records")
+    own = F.col("record_type").isin(*ANSWERS)
+    main, side = read_records(spark, path, ANSWERS) if payloads else links.where(own), links.where(~own)
     named = side.select("record_id", "record_type", "target_uri", "date", "payload", F.explode_outer("concurrent_to").alias("to"))
     asks = named.where("record_type = 'request'").select(F.col("record_id").alias("ask"), F.col("to").alias("answer")).distinct()
-    owns = read_records(spark, path, ANSWERS, payloads=False).select(F.explode("concurrent_to").alias("ask"), F.col("record_id").alias("answer"))
+    owns = links.where(own).select(F.explode("concurrent_to").alias("ask"), F.col("record_id").alias("answer"))
     hops = asks.unionByName(owns).where("ask is not null and answer is not null").distinct()
     direct = named.join(hops, named["to"] == hops["ask"], "left").select(named["*"], F.coalesce("answer", "to").alias("anchor"))
     listed = side.join(owns.distinct(), side.record_id == F.col("ask")).select(
@@ -198,4 +220,4 @@ def resolved(captures: DataFrame) -> DataFrame:
     captures, with those of revisits taken from the response they refer to."""
     fields = F.col("metadata")[0]["payload"].cast("string")
     return captures.select(F.regexp_extract(fields, r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"), "record_id", "record_type",
-                           F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "refers_to")
+                           "payload_bytes", F.col("payload_sha256").alias("payload_digest"), "refers_to")
