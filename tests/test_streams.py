@@ -95,11 +95,11 @@ def bursts(spark, tmp_path_factory):
 def test_state_leaves_by_event_time(spark, bursts, tmp_path):
     source = spark.readStream.schema("seq long, ts timestamp, user_id string").option("maxFilesPerTrigger", 1).parquet(bursts)
     out = f"{tmp_path}/out"
-    query = (stream_rate_limit(source, max_requests=3, window_us=HOUR, late="2 hours").writeStream.format("parquet").option("path", f"{out}/data")
+    query = (stream_rate_limit(source, max_requests=1, window_us=HOUR, late="2 hours").writeStream.format("parquet").option("path", f"{out}/data")
              .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
     query.awaitTermination()
     got = spark.read.parquet(f"{out}/data")
-    want = rate_limit(spark.read.parquet(bursts), max_requests=3, window_us=HOUR)
+    want = rate_limit(spark.read.parquet(bursts), max_requests=1, window_us=HOUR)
     cols = ["seq", "limited", "retry_after"]
     assert {tuple(r) for r in got.select(cols).collect()} == {tuple(r) for r in want.select(cols).collect()} and got.where("limited").count() > 50
     held = spark.read.format("statestore").load(f"{out}/state").count()
