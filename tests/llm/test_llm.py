@@ -165,19 +165,6 @@ def test_repeated_passages(docs, nothing, texts):
     assert substrings.repeats(nothing).count() == 0 and substrings.deduplicated(nothing).count() == 0
 
 
-def test_signatures_find_all_similar_paragraphs():
-    r = random.Random(5)
-    for _ in range(300):
-        n = r.randint(5, 40)
-        a = {r.randrange(2**60) for _ in range(n)}
-        b = set(list(a)[:n - r.randint(0, n // 5)]) | {r.randrange(2**60) for _ in range(r.randint(0, n // 6))}
-        if len(a & b) >= substrings.SIMILAR * len(a | b):
-            bands = lambda s: set(sorted(s)[:len(s) - -(-len(s) * 4 // 5) + 1])
-            assert bands(a) & bands(b)
-    sets = [frozenset(range(i, i + 20)) for i in range(0, 12)] + [frozenset(range(100, 105))]
-    assert len(substrings.linked(sets)) == 11
-
-
 def found_of(spark, rows: dict) -> dict:
     """Words of each document that the passages found cover."""
     covered = collections.defaultdict(set)

@@ -82,6 +82,19 @@ def _batch(out: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
 
+def _most_used(counts: DataFrame, most: int) -> DataFrame:
+    """The most used pre-tokens, ``most`` at most: those above a threshold, which
+    a histogram of uses gives (eight steps to a power of two), so nothing is sorted."""
+    step = F.floor(F.log2("uses") * 8)
+    left, least = most, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():     # 512 steps at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    return counts.where(F.lit(False) if least is None else step >= least)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row.
 
@@ -96,7 +109,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, head: int
     spark = docs.sparkSession
     counts = kept(piece_counts(docs, tokenizer), "pieces")
     short = counts.where(F.length("piece") <= HEAD_CHARS)
-    top = short.orderBy(F.col("uses").desc(), "piece").limit(head).select("piece", "n_tokens").toArrow()
+    top = _most_used(short, head).select("piece", "n_tokens").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = kept(rows.mapInArrow(_documents(tokenizer, known), "row long, doc_id long, n_bytes long, known long, rare array<string>, uses array<long>"), "frequencies")
