@@ -278,3 +278,15 @@ def test_gate_by_keys(spark, sf):
     assert "RATE_LIMIT" in codes and None in codes
     off = detailed_gate(reqs, Config(enable_rate_limiting=False), window_us=c.DAY_US)
     assert off.where("code = 'RATE_LIMIT'").count() == 0
+
+
+def test_rows_copied_per_width_are_never_broadcast(spark):
+    """Rows look narrow to Spark's estimate, but are copied for every width of interval."""
+    rows = spark.range(0, 3_000, 1, 2).withColumnRenamed("id", "at")
+    iv = spark.range(4_000).select(F.col("id").alias("from_seq"), (F.col("id") + F.pow(F.lit(2), F.col("id") % 11).cast("long")).alias("to_seq"),
+                                   *[F.concat(F.lit("n" * 200), "id").alias(f"n{k}") for k in range(8)])
+    for part, joins in ((iv, "SortMergeJoin"), (iv.where("from_seq < 500"), "BroadcastHashJoin")):
+        joined = interval_join(rows, "at", part, how="inner")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joins in plan and "BuildLeft" not in plan
+        assert joined.count() == sum(max(0, min(3_000, r.to_seq) - r.from_seq) for r in part.select("from_seq", "to_seq").collect())

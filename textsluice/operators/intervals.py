@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 #: there are, which is also the rows of the only whole-table window: the one
 #: that carries values from block to block.
 BLOCK_ROWS, MOST_BLOCKS = 250_000, 2_000
+#: Bytes of intervals, as counted, up to which an inner join broadcasts them.
+BROADCAST_BYTES = 4 << 20
 
 
 def in_blocks(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
@@ -37,13 +39,14 @@ def interval_join(df: DataFrame, at: str, intervals: DataFrame, *, start: str =
     bound is open) and agree in the columns *on*.  *how*: inner, left_semi, or
     for intervals that do not overlap also left and left_anti.
 
-    An equi-join with the exact bounds as a residual; Spark broadcasts small
-    intervals and otherwise shuffles by bin, splitting hot bins at run time.
+    An equi-join with the exact bounds as a residual; small intervals are
+    broadcast and others shuffled by bin, splitting hot bins at run time.
     Inner and semi joins bin by size: an interval lies in at most two bins of
     the least width (a power of two) that is as long as it is, and a row looks
     once at each width in use, of which there are at most 64.  So long or
     overlapping intervals do not multiply, and clustered ones have narrow bins.
-    Pass narrow rows, as they are copied per width.  Left and anti joins bin
+    Pass narrow rows, as they are copied per width; Spark's estimate knows nothing
+    of the copies, so intervals are counted and rows never broadcast.  Left and anti joins bin
     equally wide, about one start each; a row is never copied there.
     """
     if how == "inner":
@@ -84,7 +87,9 @@ def _meets(at: str, start: str, stop: str, equal: Sequence[str]) -> Column:
 
 def _by_size(df: DataFrame, at: str, intervals: DataFrame, start: str, stop: str, on: Sequence[str]) -> DataFrame:
     intervals = intervals.where(_held(start, stop))
-    edge = intervals.agg(F.least(F.min(start), F.min(stop)).alias("lo"), F.greatest(F.max(start), F.max(stop)).alias("hi")).first()
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in intervals.dtypes if kind == "string"), F.lit(16 * len(intervals.columns)))
+    edge = intervals.agg(F.least(F.min(start), F.min(stop)).alias("lo"), F.greatest(F.max(start), F.max(stop)).alias("hi"),
+                         F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("size")).first()
     lo, hi = int(edge["lo"] or 0), int(edge["hi"] or 0)
     sized = (intervals.withColumn("_first", F.coalesce(F.col(start), F.lit(lo)) - lo)
              .withColumn("_last", F.coalesce(F.col(stop) - 1, F.lit(hi)) - lo)
@@ -92,7 +97,8 @@ def _by_size(df: DataFrame, at: str, intervals: DataFrame, start: str, stop: str
                          .otherwise(F.length(F.bin(F.col("_last") - F.col("_first")))).cast("int")))
     levels = sorted(r[0] for r in sized.select("_level").distinct().collect())      # at most 64
     right = (sized.withColumn("_bin", F.explode(F.expr("sequence(shiftright(_first, _level), shiftright(_last, _level))")))
-             .drop("_first", "_last").alias("r"))
+             .drop("_first", "_last"))
+    right = (F.broadcast(right) if edge["size"] <= BROADCAST_BYTES else right.hint("merge")).alias("r")
     inside = F.least(F.greatest(F.col(at).cast("long"), F.lit(lo)), F.lit(hi)).cast("long") - lo
     looks = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col("_inside"), k).alias("bin")) for k in levels or [0]])
     left = (df.withColumn("_inside", inside).withColumn("_look", F.explode(looks))
