@@ -290,3 +290,11 @@ def test_rows_copied_per_width_are_never_broadcast(spark):
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert joins in plan and "BuildLeft" not in plan
         assert joined.count() == sum(max(0, min(3_000, r.to_seq) - r.from_seq) for r in part.select("from_seq", "to_seq").collect())
+
+
+def test_one_block_is_no_literal(spark):
+    """A small axis is one block; joins on it stay equi-joins."""
+    rows = spark.createDataFrame([(None,), (0,), (7,)], "us long")
+    semi = interval_join(rows, "us", spark.createDataFrame([(-5, 3), (-2, 1)], "a long, b long"), start="a", stop="b", how="left_semi")
+    plan = semi._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and [r.us for r in semi.collect()] == [0]

@@ -28,8 +28,8 @@ def in_blocks(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame
     n, cuts = df.agg(F.count("*"), F.expr(f"percentile_approx(`{order}`, array({shares}), {10 * fine})")).first()
     wanted = fine if blocks is not None else min(fine, -(-n // BLOCK_ROWS))
     splits = sorted({float(cuts[k * fine // wanted - 1]) for k in range(1, wanted)}) if cuts else []
-    if not splits:
-        return df.withColumn("_block", F.lit(0.0))
+    if not splits:      # a literal would be folded, and joins on it become nested loops
+        return df.withColumn("_block", F.when(F.col(order) >= 0, 1.0).otherwise(0.0))
     return Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=order, outputCol="_block", handleInvalid="keep").transform(df)
 
 
