@@ -197,6 +197,17 @@ def test_passages_whose_parts_stand_in_earlier_documents_repeat(spark):
     assert found_of(spark, rows) == want
 
 
+def test_passages_longer_than_the_kept_one_repeat(spark):
+    """Two words put into 48: 40 of 46 and 44 shingles are common, a Jaccard similarity of just 0.8."""
+    rows, want = {}, {}
+    for k in range(8):
+        passage = words(48, 500 + k)
+        other = [*passage[:24], f"put{k}", f"in{k}", *passage[24:]]
+        rows[k], rows[100 + k] = (" ".join([*words(70, 60 * k + s), *p, *words(70, 60 * k + s + 1)]) for s, p in ((5, passage), (7, other)))
+        want[100 + k] = set(range(70, 120))
+    assert found_of(spark, rows) == want
+
+
 def test_passages_that_repeat_themselves_are_found(spark):
     period = ["a", "b", "c", "d", "e", "f"]
     rows, want = {}, {}

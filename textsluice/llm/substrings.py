@@ -279,7 +279,8 @@ def similar_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
             base += len(there)
         chain, low, high, shift, lag = (np.array(x, np.int64) for x in zip(*pieces))
         piece, at, n = matched_runs(h, low, high, np.concatenate([x[4] for x in group]), shift)
-        enough = np.bincount(chain[piece], n, minlength=len(group)) * (1 + SIMILAR) >= SIMILAR * 2 * (LEAST_WORDS - SHINGLE + 1) - 1e-6
+        # the other passage may be the shorter one: all its shingles can be matched ones
+        enough = np.bincount(chain[piece], n, minlength=len(group)) >= SIMILAR * (LEAST_WORDS - SHINGLE + 1) - 1e-6
         use = enough[chain[piece]]
         piece, at, n = piece[use], at[use], n[use]
         runs: dict[int, list] = {}
