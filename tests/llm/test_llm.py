@@ -208,6 +208,14 @@ def test_passages_longer_than_the_kept_one_repeat(spark):
     assert found_of(spark, rows) == want
 
 
+def test_word_hashes_are_of_lower_cased_words():
+    texts = [b"", b" A b\tB  a ", "z\x0b\u00c9 \u00e9".encode(), b""]
+    words = substrings.Words(texts)
+    assert words.begins.tolist() == [52, 104, 160, 215] and words.counts.tolist() == [0, 4, 3, 0] and len(words.h) == 267
+    a, b, b2, a2 = words.h[104:108].tolist()
+    assert a == a2 and b == b2 and len({0, a, b, *words.h[160:163].tolist()}) == 6 and (words.h > 0).sum() == 7
+
+
 def test_passages_that_repeat_themselves_are_found(spark):
     period = ["a", "b", "c", "d", "e", "f"]
     rows, want = {}, {}

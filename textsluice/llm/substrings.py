@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from textsluice.llm.common import WordHashes, bitmap, bytes_of, forget, in_bitmap, kept, marked, mixed, rolled, sliced, text_map
+from textsluice.llm.common import bitmap, bytes_of, forget, in_bitmap, kept, marked, mixed, rolled, sliced, text_map, word_slices
 
 #: Words of a shingle, and the Jaccard similarity of passages that are the same.
 SHINGLE, SIMILAR = 5, 0.8
@@ -32,18 +32,40 @@ _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _NONE = np.uint64(2**64 - 1)
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word of a text, A-Z lower-cased."""
+    at, starts, hashes = 0, [], []
+    for part in word_slices(text):
+        raw = np.frombuffer(part, np.uint8)
+        space = np.concatenate([[True], _SPACE[raw], [True]])
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        start, stop = edge[::2], edge[1::2]
+        power = np.full(len(raw) + 1, _STEP, np.uint64)
+        power[0] = 1
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * np.cumprod(power)[:-1], out=total[1:])
+        power[1:] = _BACK
+        hashes.append(mixed((total[stop] - total[start]) * np.cumprod(power)[start]))
+        starts.append(start + at)
+        at += len(part)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 class Words:
     """Word hashes of a batch of texts, with gaps of zeros between them."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes):
-        gap, parts, at = np.zeros(_GAP, np.uint64), [np.zeros(_GAP, np.uint64)], _GAP
-        self.begins, self.counts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = text.lower().split()
-            self.begins[k], self.counts[k] = at, len(words)
-            parts += [hashes.of(words) | np.uint64(1), gap]
-            at += len(words) + _GAP
-        self.h = np.concatenate(parts)
+    def __init__(self, texts: list[bytes]):
+        starts, hashes = word_hashes(b" ".join(texts))
+        first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts[:-1]])]).astype(np.int64)
+        doc = np.searchsorted(first, starts, side="right") - 1
+        self.counts = np.bincount(doc, minlength=len(texts))
+        self.begins = np.cumsum(self.counts + _GAP) - self.counts
+        self.h = np.zeros(len(starts) + _GAP * (len(texts) + 1), np.uint64)
+        self.h[np.arange(len(starts)) + _GAP * (doc + 1)] = hashes | np.uint64(1)
 
     def whole(self, n: int) -> np.ndarray:
         """Whether the ``n`` words from a position on lie in one text."""
@@ -69,11 +91,11 @@ class Words:
         chosen = np.zeros(len(grams), bool)
         for d in range(WINNOW):
             chosen[d:d + n] |= grams[d:d + n] == least
-        again = np.zeros(len(grams), bool)
+        at = np.flatnonzero(chosen)
+        values, again = grams[at], np.zeros(len(at), bool)
         for d in range(1, WINNOW):
-            again[d:] |= chosen[:-d] & (grams[d:] == grams[:-d])
-        at = np.flatnonzero(chosen & ~again)
-        return at, mixed(grams[at])
+            again[d:] |= (at[d:] - at[:-d] < WINNOW) & (values[d:] == values[:-d])
+        return at[~again], mixed(values[~again])
 
     def windows(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, hash) of ``LEAST_WORDS`` words all of whose anchors may be shared.
@@ -82,7 +104,9 @@ class Words:
         wherever it stands; others do not count.
         """
         _, least = self.least()
-        bad = np.concatenate([[0], np.cumsum(~in_bitmap(shared, mixed(least), MAP_BITS))])
+        new = np.concatenate([[True], least[1:] != least[:-1]])         # neighbours mostly have the same one
+        known = in_bitmap(shared, mixed(least[new]), MAP_BITS)[np.cumsum(new) - 1]
+        bad = np.concatenate([[0], np.cumsum(~known)])
         n = LEAST_WORDS - GRAM - WINNOW + 2
         at = np.flatnonzero((bad[n:] == bad[:-n]) & self.whole(LEAST_WORDS)[:len(bad) - n])
         size = len(self.h)
@@ -108,11 +132,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _hashed(docs: DataFrame, of) -> DataFrame:
     """(hash, doc_id, tag, pos) of what ``of`` finds in the words of the texts."""
-    hashes: list[WordHashes] = []
-
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        hashes[:] = hashes or [WordHashes()]
-        words = Words(batch.column(2).to_pylist(), hashes[0])
+        words = Words(batch.column(2).to_pylist())
         at, value = of(words)
         take, pos = words.placed(at)
         yield from sliced([value.view(np.int64), batch.column(0).take(take), batch.column(1).take(take), pos], ["hash", "doc_id", "tag", "pos"])
@@ -174,11 +195,8 @@ def _with_lists(docs: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFr
 def stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, tag, start, stop, words): 32 bits of the hashes of the words ``wanted``
     (doc_id, tag, start, stop; distinct)."""
-    hashes: list[WordHashes] = []
-
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        hashes[:] = hashes or [WordHashes()]
-        words = Words(batch.column(2).to_pylist(), hashes[0])
+        words = Words(batch.column(2).to_pylist())
         h = words.h.astype(np.uint32).view(np.int32)
         for k, asked in enumerate(batch.column(3).to_pylist()):
             at, n = words.begins[k], words.counts[k]
@@ -248,11 +266,8 @@ def similar_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     other = found.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_tag").alias("tag"), F.col("kept_start").alias("start"), F.col("kept_stop").alias("stop")).distinct()
     there = stretches(docs, other).withColumnsRenamed({"doc_id": "kept_doc_id", "tag": "kept_tag", "start": "kept_start", "stop": "kept_stop"})
     ready = found.join(there, ["kept_doc_id", "kept_tag", "kept_start", "kept_stop"])
-    hashes: list[WordHashes] = []
-
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        hashes[:] = hashes or [WordHashes()]
-        words = Words(batch.column(2).to_pylist(), hashes[0])
+        words = Words(batch.column(2).to_pylist())
         h = words.h.astype(np.uint32).view(np.int32)
         group, size = [], 0
         lists = batch.column(3)
