@@ -6,6 +6,7 @@ import collections
 import html
 import random
 import re
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -105,6 +106,20 @@ def test_simhash_groups(docs, nothing, texts):
     assert simhash.near_groups(nothing).count() == 0
 
 
+def test_no_task_of_near_groups_runs_two_python_workers(docs, monkeypatch):
+    plans = []
+
+    def planned(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.kept(df, what)
+
+    monkeypatch.setattr(components, "kept", planned)
+    monkeypatch.setattr(simhash, "kept", planned)
+    simhash.near_groups(docs).collect()
+    stages = [part for plan in plans for part in plan.split("Exchange")]
+    assert max(len(re.findall("MapInArrow|MapGroupsInArrow", s)) for s in stages) == 1
+
+
 def test_ball_links_are_those_within_three_bits():
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 40, dtype=np.uint64)
@@ -216,6 +231,22 @@ def test_word_hashes_are_of_lower_cased_words():
     assert a == a2 and b == b2 and len({0, a, b, *words.h[160:163].tolist()}) == 6 and (words.h > 0).sum() == 7
 
 
+@pytest.mark.parametrize("of", [substrings.Words.anchors, lambda w: w.windows(np.full(1 << substrings.MAP_BITS - 6, 2**64 - 1, np.uint64))])
+def test_hashing_words_takes_little_memory(spark, monkeypatch, of):
+    """Work arrays do not follow the size of the batch."""
+    monkeypatch.setattr(common, "map_in_arrow", lambda df, fn, schema: fn)
+    text = " ".join(words(300, 1)).encode()
+    n = (3 << 20) // len(text)
+    batch = pa.record_batch([pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array([text] * n)], ["doc_id", "tag", "text"])
+    run = substrings._hashed(spark.createDataFrame([], "doc_id long, text string"), of)
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    one = sum(out.num_rows for out in run(iter([batch.slice(0, 1)])))
+    assert rows == n * one > 0 and peak < 32 << 20
+
+
 def test_passages_that_repeat_themselves_are_found(spark):
     period = ["a", "b", "c", "d", "e", "f"]
     rows, want = {}, {}

@@ -94,9 +94,9 @@ def word_slices(text: bytes, most: int = TEXT_BYTES) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def text_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, column: int) -> DataFrame:
+def text_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, column: int, most: int = TEXT_BYTES) -> DataFrame:
     """``mapInArrow`` of a function on the portions of batches by the texts in ``column``."""
-    return arrow_map(df, lambda batch: (out for part in portions(batch, column) for out in fn(part)), schema)
+    return arrow_map(df, lambda batch: (out for part in portions(batch, column, most) for out in fn(part)), schema)
 
 
 def sliced(arrays: list, names: list[str]) -> Iterator[pa.RecordBatch]:

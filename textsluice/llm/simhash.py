@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textsluice.llm.common import arrow_map, bytes_of, kept, mixed, sliced, text_map
-from textsluice.llm.components import components
+from textsluice.llm.common import arrow_map, bytes_of, forget, kept, mixed, sliced, text_map
+from textsluice.llm.components import components, local_roots
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Bits of shingle hashes counted at a time.
@@ -104,8 +104,9 @@ def hub_links(prints: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.nda
 def _links(table: pa.Table) -> pa.Table:
     join = lambda k, kind: np.frombuffer(b"".join(table.column(k).to_pylist()), kind)
     a, b = hub_links(join("prints", np.uint64), join("flips", np.uint16))
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-    return pa.table({"a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64)})
+    nodes, roots = local_roots(a.view(np.int64), b.view(np.int64))
+    out = nodes != roots
+    return pa.table({"a": nodes[out], "b": roots[out]})
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,6 +120,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     fingerprints than a ball holds, so groups of copies make no hot key.
     Variants travel packed by bucket as (fingerprint, number of the flip); the
     number of buckets follows the count of fingerprints, so a bucket fits a task.
+    A bucket's links are contracted to stars, which are written before links of
+    several buckets meet, so that no task runs two Python workers.
 
     Every row of ``docs`` gives one row.  A null text counts as empty; empty
     texts have fingerprint zero and are linked like others; repeated rows and
@@ -129,8 +132,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     nodes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     buckets = max(1, -(-nodes.count() * (SHORT + len(FLIPS)) // 2 // BUCKET))
     packed = arrow_map(nodes.select("fp"), _variants(buckets), "bucket long, prints binary, flips binary")
-    links = packed.groupBy("bucket").applyInArrow(_links, "a long, b long")
+    links = kept(packed.groupBy("bucket").applyInArrow(_links, "a long, b long"), "bucket-links")
     roots = components(links)
+    forget(links)
     group = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = group.join(group.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -25,7 +25,10 @@ APART, DRIFT = 128, 16
 #: Words around a chain of anchors that are compared as well, and shifts tried there.
 MARGIN, SHIFTS = 64, 2
 #: Bits of the map of shared anchors, and words compared at a time.
-MAP_BITS, AT_ONCE = 26, 1 << 20
+MAP_BITS, AT_ONCE = 26, 1 << 18
+#: Bytes of text whose words, and whose bytes, are hashed at a time: work arrays hold
+#: several times 8 bytes for each.
+HASHED_WORDS, HASHED_BYTES = 1 << 20, 1 << 17
 
 _GAP = LEAST_WORDS + 2
 _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -39,7 +42,7 @@ _BYTE = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint6
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every word of a text, A-Z lower-cased."""
     at, starts, hashes = 0, [], []
-    for part in word_slices(text):
+    for part in word_slices(text, HASHED_BYTES):
         raw = np.frombuffer(part, np.uint8)
         space = np.concatenate([[True], _SPACE[raw], [True]])
         edge = np.flatnonzero(space[1:] != space[:-1])
@@ -138,7 +141,7 @@ def _hashed(docs: DataFrame, of) -> DataFrame:
         take, pos = words.placed(at)
         yield from sliced([value.view(np.int64), batch.column(0).take(take), batch.column(1).take(take), pos], ["hash", "doc_id", "tag", "pos"])
 
-    return text_map(_rows(docs), run, "hash long, doc_id long, tag int, pos int", 2)
+    return text_map(_rows(docs), run, "hash long, doc_id long, tag int, pos int", 2, HASHED_WORDS)
 
 
 def _shared(every: DataFrame) -> DataFrame:
@@ -206,7 +209,7 @@ def stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                                pa.array([x["start"] for x in asked], pa.int32()), pa.array([x["stop"] for x in asked], pa.int32()), lists],
                               ["doc_id", "tag", "start", "stop", "words"])
 
-    return text_map(_with_lists(docs, wanted, ["start", "stop"]), run, "doc_id long, tag int, start int, stop int, words array<int>", 2)
+    return text_map(_with_lists(docs, wanted, ["start", "stop"]), run, "doc_id long, tag int, start int, stop int, words array<int>", 2, HASHED_WORDS)
 
 
 def path(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -308,7 +311,7 @@ def similar_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
                            pa.array([x[3] for x in out], pa.int64())], ["doc_id", "tag", "start_word", "end_word", "kept_doc_id"])
 
     fields = ["start", "stop", "kept_start", "words", "lags", "kept_doc_id"]
-    return text_map(_with_lists(docs, ready, fields), run, "doc_id long, tag int, start_word int, end_word int, kept_doc_id long", 2)
+    return text_map(_with_lists(docs, ready, fields), run, "doc_id long, tag int, start_word int, end_word int, kept_doc_id long", 2, HASHED_WORDS)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
